@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quern.plans import copies_queries
+
+_MODULES = (copies_queries,)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
