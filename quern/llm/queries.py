@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import graph_words, leakage, splitting, terms, tokenizer
+from quern.llm import graph_words, leakage, mojibake, splitting, terms, tokenizer
 from quern.session import table
 
 
@@ -64,7 +64,15 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_text_scores, p3_vector_scores, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_tokens(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restore_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_text_scores, p3_vector_scores, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_restored)}
 
 _RECORDS = "(SELECT chunk_id, max(text) AS text, max(map_entries(vector)) AS entries FROM memory_records WHERE chunk_id IS NOT NULL GROUP BY chunk_id)"
 _TERMS = """
