@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import graph_words, leakage, mojibake, splitting, terms, tokenizer
+from quern.llm import graph_words, leakage, mojibake, neighbours, splitting, terms, tokenizer
 from quern.session import table
 
 
@@ -33,6 +33,17 @@ def p3_vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("rec_id").alias("chunk_id"), "term", "df", F.round("score", 6).alias("score"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.nearest_records(table(spark, sf_dir, "memory_records"), min_score=0.9)
+    pair = near.select(F.least("rec_id", "other_id").alias("chunk_id_a"), F.greatest("rec_id", "other_id").alias("chunk_id_b"))
+    return pair.distinct()
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.nearest_records(table(spark, sf_dir, "memory_records"))
+    return near.select(F.col("rec_id").alias("chunk_id"), "rank", F.col("other_id").alias("neighbour_id"), F.round("score", 6).alias("score"))
+
+
 def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, chunks = table(spark, sf_dir, "pages"), table(spark, sf_dir, "chunks")
     items = pages.select(F.lit("page").alias("item"), "source", F.col("page_no").cast("bigint").alias("item_no"), "text").unionByName(
@@ -72,7 +83,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_text_scores, p3_vector_scores, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_text_scores, p3_vector_scores, p4_found, p4_neighbours, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_restored)}
 
 _RECORDS = "(SELECT chunk_id, max(text) AS text, max(map_entries(vector)) AS entries FROM memory_records WHERE chunk_id IS NOT NULL GROUP BY chunk_id)"
 _TERMS = """
