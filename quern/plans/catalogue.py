@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.plans import copies_queries
+from quern.plans import copies_queries, memory_queries, network_queries
 
-_MODULES = (copies_queries,)
+_MODULES = (memory_queries, network_queries, copies_queries)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
