@@ -1,16 +1,85 @@
 """Analysis of task graphs: levels, failures passed on, slack and the critical path.
 
-Graphs are walked level by level, one join for each level; every level is written to the shared folder, so plans stay short and a
-lost executor costs one level at most.
+A graph of at most `whole` nodes and edges together (counted first, so the bound is checked) is walked by one task with array
+operations. A larger one is walked level by level, one join for each level; every level is written to the shared folder, so plans
+stay short and a lost executor costs one level at most. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.session import cut_lineage
 
+#: Nodes and edges that one task walks.
+WHOLE = 1_000_000
+
+
+class _Walk:
+    """A graph as arrays: nodes by position in the order of ids, edges grouped by source."""
+
+    def __init__(self, ids: np.ndarray, src: np.ndarray, dst: np.ndarray):
+        self.ids = np.sort(ids)
+        pairs = np.unique(np.stack([np.searchsorted(self.ids, src), np.searchsorted(self.ids, dst)], axis=1), axis=0) if len(src) else np.empty((0, 2), np.int64)
+        self.src, self.dst = pairs[:, 0], pairs[:, 1]
+        self.begin = np.searchsorted(self.src, np.arange(len(self.ids) + 1))
+
+    def after(self, nodes: np.ndarray) -> np.ndarray:
+        """Targets of all edges of some nodes."""
+        sizes = self.begin[nodes + 1] - self.begin[nodes]
+        return self.dst[np.repeat(self.begin[nodes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+    def levels(self) -> np.ndarray:
+        """The most edges on any way to each node, -1 on and behind cycles."""
+        waits = np.bincount(self.dst, minlength=len(self.ids))
+        level, front, at = np.full(len(self.ids), -1), np.flatnonzero(waits == 0), 0
+        while len(front):
+            level[front] = at
+            targets = self.after(front)
+            np.subtract.at(waits, targets, 1)
+            front = np.unique(targets[waits[targets] == 0])
+            at += 1
+        return level
+
+    def reached(self, start: np.ndarray) -> np.ndarray:
+        seen, front = np.zeros(len(self.ids), bool), np.flatnonzero(start)
+        while len(front):
+            seen[front] = True
+            front = np.unique(self.after(front))
+            front = front[~seen[front]]
+        return seen
+
+    def timings(self, spent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(earliest start, latest finish) of each node."""
+        level = self.levels()
+        if (level < 0).any():
+            raise ValueError("the graph has a cycle")
+        es = np.zeros(len(self.ids), np.int64)
+        order = np.argsort(level[self.src], kind="stable")
+        cuts = np.searchsorted(level[self.src][order], np.arange(level.max(initial=0) + 2))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            e = order[a:b]
+            np.maximum.at(es, self.dst[e], es[self.src[e]] + spent[self.src[e]])
+        lf = np.full(len(self.ids), (es + spent).max(initial=0))
+        order = np.argsort(-level[self.dst], kind="stable")
+        cuts = np.searchsorted(-level[self.dst][order], -np.arange(level.max(initial=0) + 1, -2, -1))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            e = order[a:b]
+            np.minimum.at(lf, self.src[e], lf[self.dst[e]] - spent[self.dst[e]])
+        return es, lf
+
+
+def _in_one_task(nodes: DataFrame, edges: DataFrame, run, schema: str) -> DataFrame:
+    one = lambda df: df.withColumn("one", F.lit(0)).groupBy("one")
+    return one(nodes).cogroup(one(edges)).applyInPandas(lambda n, e: run(n, e), schema)
+
+
+def _fits(nodes: DataFrame, edges: DataFrame, whole: int) -> bool:
+    return nodes.count() + edges.count() <= whole
+
 
 def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, problem) of edges that no graph may have: unknown nodes, a node not after its dependency, repeated edges."""
@@ -26,8 +95,18 @@ def ready(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(id, level): the most edges on any way to a node. A cycle raises ValueError."""
+    if _fits(nodes, edges, whole):
+
+        def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+            walk = _Walk(n["id"].to_numpy(), e["src"].to_numpy(), e["dst"].to_numpy())
+            return pd.DataFrame({"id": walk.ids, "level": walk.levels()})
+
+        out = cut_lineage(_in_one_task(nodes.select("id"), edges.select("src", "dst"), run, "id bigint, level int"))
+        if not out.filter("level < 0").isEmpty():
+            raise ValueError("the graph has a cycle")
+        return out
     count = nodes.count()
     front = cut_lineage(ready(nodes, edges))
     found, level = front.withColumn("level", F.lit(0)), 0
@@ -45,11 +124,21 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def propagate(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(id, outcome): what a node without its own failure becomes: Skipped if any node before it isn't Done.
 
     Settled outcomes other than Done stay as they are.
     """
+    if _fits(nodes, edges, whole):
+
+        def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+            n = n.sort_values("id")
+            walk = _Walk(n["id"].to_numpy(), e["src"].to_numpy(), e["dst"].to_numpy())
+            done = (n["outcome"] == "Done").to_numpy()
+            hit = walk.reached(~done) & done
+            return pd.DataFrame({"id": walk.ids, "outcome": np.where(hit, "Skipped", n["outcome"])})
+
+        return _in_one_task(nodes.select("id", "outcome"), edges.select("src", "dst"), run, "id bigint, outcome string")
     front = cut_lineage(nodes.filter("outcome <> 'Done'").select("id"))
     reached = front
     while not front.isEmpty():
@@ -65,15 +154,26 @@ def cancel(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.when(F.col("outcome") == "Pending", "Skipped").otherwise(F.col("outcome")).alias("outcome"))
 
 
-def timings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def timings(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(id, duration, es, ef, ls, lf, slack, critical) in microseconds of the Done nodes; none Done gives no rows.
 
     Only edges between Done nodes count; a duration is end - begin if end > begin > 0, else 0.
     """
     spent = F.when((F.col("end_us") > F.col("begin_us")) & (F.col("begin_us") > 0), F.col("end_us") - F.col("begin_us")).otherwise(F.lit(0)).cast("bigint")
     done = nodes.filter("outcome = 'Done'").select("id", spent.alias("duration"))
+    if _fits(nodes, edges, whole):
+
+        def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+            n = n.sort_values("id")
+            e = e[e["src"].isin(n["id"]) & e["dst"].isin(n["id"])]
+            spent = n["duration"].to_numpy()
+            es, lf = _Walk(n["id"].to_numpy(), e["src"].to_numpy(), e["dst"].to_numpy()).timings(spent)
+            slack = np.maximum(lf - spent - es, 0)
+            return pd.DataFrame({"id": n["id"], "duration": spent, "es": es, "ef": es + spent, "ls": lf - spent, "lf": lf, "slack": slack, "critical": slack == 0})
+
+        return _in_one_task(done, edges.select("src", "dst"), run, "id bigint, duration bigint, es bigint, ef bigint, ls bigint, lf bigint, slack bigint, critical boolean")
     own = cut_lineage(edges.select("src", "dst").distinct().join(done.select(F.col("id").alias("src")), "src", "left_semi").join(done.select(F.col("id").alias("dst")), "dst", "left_semi"))
-    placed = cut_lineage(done.join(levels(done, own), "id"))
+    placed = cut_lineage(done.join(levels(done, own, whole), "id"))
     top = placed.agg(F.max("level").alias("m")).first()["m"]
     if top is None:
         return placed.select("id", "duration", *[F.lit(0).cast("bigint").alias(c) for c in ("es", "ef", "ls", "lf", "slack")], F.lit(False).alias("critical"))
@@ -102,13 +202,13 @@ def timings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return forward.join(backward.drop("duration"), "id").select("id", "duration", "es", "ef", "ls", "lf", slack.alias("slack"), (slack == 0).alias("critical"))
 
 
-def critical_path(nodes: DataFrame, edges: DataFrame) -> tuple[list[int], int] | None:
+def critical_path(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> tuple[list[int], int] | None:
     """(node ids from start to end, total microseconds), or None if nothing is Done.
 
     The end is the sink of greatest finish, the lowest id of several; each step back takes the lowest critical dependency that
     finishes, later than 0, when the node starts. One small lookup for each node of the path.
     """
-    table = cut_lineage(timings(nodes, edges))
+    table = cut_lineage(timings(nodes, edges, whole))
     inner = edges.join(table.select(F.col("id").alias("dst")), "dst", "left_semi")
     sinks = table.join(inner.select(F.col("src").alias("id")), "id", "left_anti")
     last = sinks.orderBy(F.desc("ef"), "id").first()
