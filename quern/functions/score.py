@@ -68,8 +68,9 @@ def reinforce(activation: Column, reward: float = 0.1) -> Column:
 
 
 def age_seconds(created: Column, as_of: Column) -> Column:
-    """Seconds from created to as_of, fractions included, 0 for the future."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(created)) / 1e6)
+    """Seconds from created to as_of, fractions included, 0 for the future; null without a creation time."""
+    passed = (F.unix_micros(as_of) - F.unix_micros(created)) / 1e6
+    return F.when(passed < 0, F.lit(0.0)).otherwise(passed)
 
 
 def recency(created: Column, as_of: Column, half_life_s: float = 30 * DAY_S) -> Column:

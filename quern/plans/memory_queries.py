@@ -279,7 +279,7 @@ _W = _C + f""", w AS (SELECT doc_id, term, n / n_tokens * idf AS weight FROM c J
  h AS (SELECT * FROM s WHERE score >= 0.05)"""
 _TOP = "row_number() OVER (PARTITION BY qid ORDER BY round({0}, 9) DESC, doc_id)"
 _AGE = f"greatest(0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 1e6)"
-_REC = f"coalesce(exp(-(ln(2) / ({HALF_LIFE_D} * 86400.0)) * {_AGE}), 0.0)"
+_REC = f"CASE WHEN created_at IS NULL THEN 0.0 ELSE exp(-(ln(2) / ({HALF_LIFE_D} * 86400.0)) * {_AGE}) END"
 _CUT = "SELECT source, page_no, text, md5(text) AS k, greatest(CAST(ceil((length(text) - {0}) / {1}.0) AS BIGINT), 0) + 1 AS n FROM (SELECT DISTINCT source, page_no, text FROM pages WHERE length(text) > 0 {2})"
 _NUM = "SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY page_no NULLS FIRST, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({0})"
 
