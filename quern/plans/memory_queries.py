@@ -323,7 +323,7 @@ SQL = {
     "pairwise_similarity": f"WITH {_W}, p AS (SELECT a.doc_id AS qid, b.doc_id, sum(a.weight * b.weight) AS dot FROM w a JOIN w b USING (term) WHERE a.doc_id % 100 = 0 GROUP BY ALL), o AS (SELECT qid, p.doc_id AS chunk_id, least(1.0, dot / (x.norm * y.norm)) AS score FROM p JOIN nd x ON x.doc_id = qid JOIN nd y ON y.doc_id = p.doc_id) SELECT qid, chunk_id, round(score, 6) AS score FROM o WHERE score >= 0.2 AND qid <> chunk_id",
     "dense_topk": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, e.vec_id, least(1.0, list_cosine_similarity(q.v, e.v)) AS score FROM e q JOIN e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) SELECT qid, vec_id, rk AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rk FROM s) WHERE rk <= 10",
     "memory_search_default": _memory(_DEFAULT),
-    "memory_search_plain": _memory("raw_score", rec="0.0"),
+    "memory_search_plain": _memory("raw_score", rec="0.0::DOUBLE"),
     "memory_search_since_post": _memory(_DEFAULT, then=f"WHERE r.created_at >= TIMESTAMP '{SINCE}'"),
     "memory_search_since_pre": _memory(_DEFAULT, first=f"WHERE doc_id IN (SELECT chunk_id FROM r WHERE created_at >= TIMESTAMP '{SINCE}')"),
     "memory_search_custom_weights": _memory("0.2 * raw_score + 0.7 * recency + 0.1 * 0.5"),
