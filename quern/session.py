@@ -55,3 +55,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_shared(spark: SparkSession) -> None:
+    """Delete all tables that cut_lineage and the index wrote; DataFrames that read them can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

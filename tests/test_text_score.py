@@ -93,3 +93,16 @@ def test_reinforce_and_score(spark):
             score.Weights(*w)
     with pytest.raises(Exception, match="out of range"):
         total({"semantic": 1.5})
+
+
+def test_cut_lineage(spark):
+    import os
+
+    from quern.session import clean_shared, cut_lineage, shared_dir
+
+    kept = cut_lineage(spark.range(3).withColumn("v", F.map_from_arrays(F.array(F.lit("a")), F.array(F.col("id")))))
+    assert kept.count() == 3 and "Parquet" in kept._jdf.queryExecution().toString()
+    place = shared_dir(spark).removeprefix("file://") + "/quern"
+    assert os.listdir(place)
+    clean_shared(spark)
+    assert not os.path.exists(place)
