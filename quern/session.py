@@ -61,3 +61,26 @@ def clean_shared(spark: SparkSession) -> None:
     """Delete all tables that cut_lineage and the index wrote; DataFrames that read them can't be used afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_pointer(spark: SparkSession, name: str) -> str | None:
+    """The word in a small file, None if there is no such file."""
+    path, files = _path(spark, name)
+    return spark.read.text(name).first()["value"] if files.exists(path) else None
+
+
+def move_pointer(spark: SparkSession, name: str, value: str) -> None:
+    """Write a word to a small file by writing another and renaming it."""
+    path, files = _path(spark, name)
+    new, _ = _path(spark, f"{name}.{uuid.uuid4().hex}")
+    out = files.create(new, True)
+    out.write(bytearray(value.encode()))
+    out.close()
+    files.delete(path, False)
+    if not files.rename(new, path):
+        raise OSError(f"{name} can't be written")

@@ -3,26 +3,24 @@
 from __future__ import annotations
 
 import math
-import os
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.operators.replica import KEYS, merge
+from quern.session import move_pointer, read_pointer
 
 TARGET = "source string, ident_no bigint, page_no int, text string, us bigint"
 
 
 def read_target(spark: SparkSession, root: str) -> DataFrame:
     """The merged store that the pointer file names; empty before the first batch."""
-    pointer = f"{root}/CURRENT"
-    if not os.path.exists(pointer):
-        return spark.createDataFrame([], TARGET)
-    with open(pointer) as f:
-        return spark.read.schema(TARGET).parquet(f"{root}/{f.read().strip()}")
+    version = read_pointer(spark, f"{root}/CURRENT")
+    return spark.read.schema(TARGET).parquet(f"{root}/{version}") if version else spark.createDataFrame([], TARGET)
 
 
 def upsert_stream(records: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -33,15 +31,11 @@ def upsert_stream(records: DataFrame, root: str, checkpoint: str, **trigger) ->
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        from pyspark.sql import functions as F
-
         spark = batch.sparkSession
         newest = batch.groupBy(*KEYS).agg(F.max(F.struct("us", "text", "page_no")).alias("top")).select(*KEYS, "top.page_no", "top.text", "top.us")
         version = uuid.uuid4().hex
         merge(newest, read_target(spark, root)).write.parquet(f"{root}/{version}")
-        with open(f"{root}/CURRENT.new", "w") as f:
-            f.write(version)
-        os.replace(f"{root}/CURRENT.new", f"{root}/CURRENT")
+        move_pointer(spark, f"{root}/CURRENT", version)
 
     return records.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
