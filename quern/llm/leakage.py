@@ -143,8 +143,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     by hash and only texts of matching pairs are fetched. Null texts and texts without words match nothing; repeated rows count
     once; rows without an id are left out; empty tables give no rows; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    items = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    words("é")  # the pattern of dropped characters is made here once and travels with the functions, instead of once in each task
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    items = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     weight = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     found = _broadcast_leaks(docs, items, min_match) if weight <= broadcast_bytes else _shuffled_leaks(docs, items, min_match)
     return found.filter(F.col("coverage") >= min_coverage).groupBy("doc_id", "item_id").agg(
