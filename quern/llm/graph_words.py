@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.arrow import by_length
-from quern.llm.terms import TERM_PATTERN, distinct_records, text_terms
+from quern.functions.text import TOKEN_PATTERN
+from quern.llm.terms import distinct_records, text_terms
 
 GRAPH_SCHEMA = "rec_id bigint, term string, tf bigint, degree bigint"
 
 
 def word_graph(ids: list[int], texts: list[str], window: int) -> tuple[list, list, np.ndarray, np.ndarray]:
     """Rows (record, term, tf, degree) of the graphs of some records."""
-    found = [re.findall(TERM_PATTERN, t.translate(_LOWER)) for t in texts]
+    found = [re.findall(TOKEN_PATTERN, t.translate(_LOWER)) for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     flat = [w for words in found for w in words]
     if not flat:

@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A term is a run of ASCII letters and digits, or one CJK ideograph.
-TERM_PATTERN = "[A-Za-z0-9]+|[一-鿿]"
+from quern.functions.text import TOKEN_PATTERN
 
 
 def text_terms(text: Column) -> Column:
     """All terms of a text in order, not yet lower-cased (lower-casing first would turn some other letters into ASCII)."""
-    return F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def distinct_records(records: DataFrame, id_col: str = "chunk_id", text_col: str = "text", vector_col: str | None = "vector") -> DataFrame:
