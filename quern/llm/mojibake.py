@@ -1,7 +1,8 @@
 """Text garbled by a wrong character encoding: a table of garbled forms of the corpus's own words, joined with its tokens.
 
-Every distinct clean token of the corpus is garbled under all encoding chains; a token of a document that equals such a form, and is
-rarer than the word it would come from, is garbled, and the word is its original. The table is as large as the vocabulary of
+Every distinct clean token of the corpus is garbled under all encoding chains; a token of a document that equals such a form, and
+can't be meant as it stands or is rarer than the word it would come from, is garbled, and the word is its original. A token that
+frequency speaks against is garbled where a chain seen in the same document gives it. The table is as large as the vocabulary of
 tokens with characters beyond ASCII, not as the corpus, and both joins are on the token.
 """
 
@@ -38,6 +39,9 @@ LONE, OPENING = "\x01", "\x02"
 CONFUSED = "–—•…“”‘’«»"
 NEVER_ALONE = "òìùûïîëñöô╗´"
 ALWAYS_KNOWN = "–—•…“”‘’‚„†‡‰‹›€™−≤≥≠≈→←" + "".join(map(chr, [*range(0xA1, 0xAD), *range(0xAE, 0x180)]))
+#: Signs that stand between letters or before a word as meant, and other signs of single-byte encodings that do neither (fixed values).
+JOINING = CONFUSED + "·‚„‹›\xad‐‑―"
+NEVER_LEADING = "¤¦¨ª¬¯²³´¶¸¹º¼½¾×÷ˆ˜˙˘˚˝˛ˇ"
 _NOT_CLEAN = re.compile("[�\x80-\x84\x86-\x9f]")
 _ASCII = re.compile("[\x00-\x7f]")
 _HAS_CJK = re.compile(f"[{_CJK}]")
@@ -51,6 +55,9 @@ def _table(encoding: str) -> str:
 _TABLES = {e: _table(e) for e in (*READ_SINGLE, *WRITTEN_SINGLE)}
 
 
+_MAPS = {e: {ord(c): b for b, c in enumerate(t)} for e, t in _TABLES.items()}
+
+
 def _write(text: str, encoding: str) -> bytes | None:
     try:
         return text.encode(encoding)
@@ -64,6 +71,17 @@ def _read(data: bytes, encoding: str) -> str:
     return data.decode(encoding, "replace")
 
 
+def garble(text: str, chain: str) -> str | None:
+    """The form that a chain gives, None if the text can't be written so."""
+    steps = chain.split(">")
+    for written, read in zip(steps[::2], steps[1::2]):
+        data = _write(text, written)
+        if data is None:
+            return None
+        text = data.decode("cp1252", "replace") if read.endswith(" strict") else _read(data, read)
+    return text
+
+
 def garbled_forms(word: str) -> dict[str, str]:
     """Every form that differs from the word, with the first chain that gives it, such as 'utf_8>cp1252'."""
     forms: dict[str, str] = {}
@@ -136,6 +154,57 @@ def _plausible(word: str, form: str) -> bool:
     return len(_ASCII.findall(word)) >= 2
 
 
+def _several(word: str, form: str, chain: str) -> bool:
+    """Whether a form holds several characters in place of each, as nobody writes; two ideographs may happen to give a Cyrillic word."""
+    if len(form) <= len(word):
+        return False
+    return chain.startswith("utf_8") or (chain.startswith("gbk") and len(word) > (2 if form.isalpha() and "\u0400" <= form[0] <= "\u04ff" else 1))
+
+
+def _latin(c: str) -> bool:
+    return c.isalpha() and c < "\u0250" and c not in "ªº"
+
+
+def peeled(cluster: str) -> list[tuple[str, str]]:
+    """(text, encoding) for every encoding in which the characters are the UTF-8 bytes of a shorter text."""
+    out = []
+    for read in READ_SINGLE if not _HAS_CJK.search(cluster) else ():
+        try:
+            out.append((codecs.charmap_encode(cluster, "strict", _MAPS[read])[0].decode("utf_8"), read))
+        except UnicodeError:
+            pass
+    return out
+
+
+def oddity(token: str) -> int:
+    """How many characters of a token can hardly be meant where they stand, whatever the frequency of the token.
+
+    Replacement and control characters; signs between Latin letters, or leading ones that never lead; Latin letters that Western
+    encodings lack, or capitals after small ones; Greek between Latin letters; Cyrillic letters and ideographs beside them; and
+    runs that are UTF-8 read in another encoding.
+    """
+    if token[:1] in (LONE, OPENING):
+        return 0
+    if any(len(c) > 1 and peeled(c) for c in _CLUSTERS.findall(token)):
+        return 7
+    token, odd, signs, known = token[:1000], 0, 0, ""  # signs: so many stand since the character known
+    for i, c in enumerate(token):
+        before, after = token[i - 1] if i else "", token[i + 1 : i + 2]
+        if _NOT_CLEAN.match(c):
+            odd += 1
+        elif c < "\x80" or c in JOINING or _latin(c):
+            odd += signs if _latin(c) and _latin(known) else 0
+            odd += _latin(c) and (("\xff" < c and c not in _TABLES["cp1252"]) or (c > "\x7f" and c.isupper() and before.islower()))
+            signs, known = 0, c
+        elif "\u0400" <= c <= "\u052f" or _HAS_CJK.match(c):
+            odd += _latin(before) or _latin(after)
+            signs, known = 0, c
+        else:
+            odd += (not i and c in NEVER_LEADING and _latin(after)) or (_latin(before) and "\xa1" <= after <= "\xbf")
+            signs += 1
+    return odd
+
+
 _WORDS, _CLUSTERS, _PARTS = re.compile(WORD_TOKEN), re.compile(CLUSTER_TOKEN), re.compile(PART_TOKEN)
 _LONES, _OPENINGS = re.compile(LONE_TOKEN), re.compile(OPENING_TOKEN)
 
@@ -190,7 +259,11 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
-    """(token, original, chain, df, original_df) for each distinct garbled token; original is null if none is known."""
+    """(token, original, chain, df, original_df, level) for each distinct token that may be garbled; original is null if none is known.
+
+    level: 2 for what can't be meant; 1 for what might be, but is rarer than the original; 0 for what is no rarer, so that it takes
+    a document with the chain to tell.
+    """
     vocabulary = cut_lineage(pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("h", F.xxhash64("token")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +271,10 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             columns: list[list[int]] = [[], [], [], []]
             for word, number, df in zip(*(batch.column(c).to_pylist() for c in ("token", "h", "df"))):
+                odd = min(oddity(word), 7)
                 for form, chain in garbled_forms(word).items():
                     if _plausible(word, form):
-                        longer = chain.startswith("utf_8") and len(form) > len(word)
-                        for column, value in zip(columns, (_hash(form), number, df, 2 * CHAINS[chain] + longer)):
+                        for column, value in zip(columns, (_hash(form), number, df, 16 * CHAINS[chain] + 2 * odd + _several(word, form, chain))):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["h", "word_h", "original_df", "chain"])
 
@@ -210,29 +283,42 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
     known = vocabulary.sparkSession.createDataFrame([(c, 0) for c in always], "token string, df bigint").withColumn("h", F.xxhash64("token"))
     sources = clean.unionByName(known)
     forms = sources.mapInArrow(run, "h bigint, word_h bigint, original_df bigint, chain int")
-    # a form of several characters in place of fewer can't be meant, nor can these characters alone; any other must be rarer than the word
+    # a form of several characters in place of fewer can't be meant, nor can these characters alone, nor one odder than the word; of
+    # equally odd ones, the form must be rarer than the word. A word odder than the form is no original
+    oddness = F.pandas_udf(lambda tokens: tokens.map(lambda t: min(oddity(t), 7)).astype("int32"), "int")
+    met = forms.join(vocabulary, "h").withColumn("odd", oddness("token")).withColumn("word_odd", F.floor(F.col("chain") / 2).cast("int") % 8)
     never_meant = (F.col("chain") % 2 == 1) | F.col("token").rlike(f"^{LONE}[{NEVER_ALONE}]$|^{OPENING}\\p{{Ll}}$")
+    has_lost = F.col("token").contains("\ufffd")
+    rarer = F.col("original_df") > F.col("df")
+    usual = F.when(rarer, F.col("word_h"))
     best = (
-        forms.join(vocabulary, "h")
-        .filter((F.col("original_df") > F.col("df")) | never_meant)
+        met.filter(never_meant | (F.col("odd") >= F.col("word_odd")))
+        .withColumn("level", F.when(never_meant | (F.col("odd") > F.col("word_odd")), 2).when(rarer, 1).otherwise(0))
         .groupBy("token", "df")
-        .agg(F.max(F.struct("original_df", "word_h", "chain")).alias("best"), (F.min("word_h") == F.max("word_h")).alias("sole"))
-        .select("token", "df", "best.*", (F.col("sole") | ~F.col("token").contains("\ufffd")).alias("clear"))
+        .agg(
+            F.max(F.struct("level", (has_lost & rarer).alias("rarer"), (-F.col("word_odd")).alias("even"), "original_df", "word_h", "chain")).alias("best"),
+            F.coalesce(F.min(usual) == F.max(usual), (F.min("word_h") == F.max("word_h")) & F.col("token").rlike("[A-Za-z].*[A-Za-z]")).alias("sole"),
+        )
+        .select("token", "df", "best.*", (F.col("sole") | ~has_lost).alias("clear"))
+        .filter((F.col("level") > 0) | ~F.col("token").rlike("[\\x{FFFD}\\x80-\\x84\\x86-\\x9F]"))
     )
     names = F.create_map(*[F.lit(x) for name, n in CHAINS.items() for x in (n, name)])
     originals = sources.select(F.col("h").alias("word_h"), F.col("token").alias("original")).distinct()
     # characters that were lost come back only if a single word fits what is left
-    matched = best.join(originals, "word_h").select("token", F.when(F.col("clear"), F.col("original")).alias("original"), F.element_at(names, F.floor(F.col("chain") / 2).cast("int")).alias("chain"), "df", "original_df")
+    matched = best.join(originals, "word_h").select("token", F.when(F.col("clear"), F.col("original")).alias("original"), F.element_at(names, F.floor(F.col("chain") / 16).cast("int")).alias("chain"), "df", "original_df", "level")
     matched = cut_lineage(matched)  # garbled tokens only, read several times below
     # a word may itself be a form of another: what was garbled twice gets the first original
+    matched, weak = matched.filter("level > 0"), matched.filter("level = 0")
+    weak = weak.join(matched.filter("level = 2").select(F.col("token").alias("original")), "original", "left_anti").select(matched.columns)
     for _ in range(2):
         step = matched.select(F.col("token").alias("original"), F.col("original").alias("first"), F.col("chain").alias("before"))
         matched = matched.join(step, "original", "left").select(
-            "token", F.coalesce("first", "original").alias("original"), F.when(F.col("first").isNull(), F.col("chain")).otherwise(F.concat_ws(">", "before", "chain")).alias("chain"), "df", "original_df"
+            "token", F.coalesce("first", "original").alias("original"), F.when(F.col("first").isNull(), F.col("chain")).otherwise(F.concat_ws(">", "before", "chain")).alias("chain"), "df", "original_df", "level"
         )
     lost = vocabulary.filter(F.col("token").rlike("[\\x{FFFD}\\x80-\\x84\\x86-\\x9F]")).join(matched, "token", "left_anti")
     none = F.lit(None)
-    return matched.unionByName(lost.select("token", none.cast("string").alias("original"), none.cast("string").alias("chain"), "df", none.cast("bigint").alias("original_df")))
+    lost = lost.select("token", none.cast("string").alias("original"), none.cast("string").alias("chain"), "df", none.cast("bigint").alias("original_df"), F.lit(2).alias("level"))
+    return matched.unionByName(weak).unionByName(lost)
 
 
 def garbled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +330,18 @@ def garbled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     pairs = cut_lineage(tokens(docs, id_col, text_col))
     known = cut_lineage(garbled_vocabulary(pairs))
-    return pairs.join(known, "token").select("doc_id", "token", "original", "chain")
+    met = cut_lineage(pairs.join(known, "token").select("doc_id", "token", "original", "chain", "level"))
+    gives = F.pandas_udf(lambda o, t, cs: pd.Series([any(garble(a, c) == b for c in some) for a, b, some in zip(o, t, cs)], dtype=bool), "boolean")
+
+    def told(by: DataFrame) -> DataFrame:
+        seen = by.filter(F.col("original").isNotNull()).groupBy("doc_id").agg(F.collect_set("chain").alias("chains"))
+        return met.filter("level = 0").join(seen, "doc_id").filter(gives("original", "token", "chains")).drop("chains")
+
+    # a word rarer than its own garbled form is still the word if a document shows which of the two is garbled
+    sure = met.filter("level = 2")
+    turned = told(sure).select(F.col("original").alias("token"), F.col("token").alias("original")).distinct()
+    firm = sure.unionByName(met.filter("level = 1").join(turned, ["token", "original"], "left_anti"))
+    return firm.unionByName(told(firm)).drop("level")
 
 
 def _undo(token: str, chains: set[str]) -> str | None:

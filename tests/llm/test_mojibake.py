@@ -58,3 +58,20 @@ def test_tokens_of_a_text():
 def test_undo_needs_a_chain_and_a_round_trip():
     token = broken("größte", "utf_8", "cp1252")
     assert m._undo(token, {"utf_8>cp1252"}) == "größte" and m._undo(token, {"utf_8>cp437"}) is None and m._undo("größte", {"utf_8>cp1252"}) is None
+
+
+def test_hot_source_garbled_more_often_than_clean(spark):
+    """One source with most rows was decoded wrongly: garbled forms are as frequent as the words or more so, and words stay words."""
+    clean = [(1, "Die Größe ist für überlastet"), (2, "我们为它 ok 测得毫秒"), (3, "on décale ici"), (4, "día ²")]
+    hot = [(100 + i, broken("Größe für überlastet", "cp1252", "mac_roman")) for i in range(4)]
+    hot += [(200 + i, broken("我们为它 ok 测得毫秒", "gbk", "cp1252")) for i in range(4)] + [(300, broken("on décale ici", "cp1252", "mac_roman"))]
+    docs = spark.createDataFrame(clean + hot, "doc_id bigint, text string")
+    texts = {r["doc_id"]: r["restored"] for r in m.restore_texts(docs).collect()}
+    assert set(texts) == {i for i, _ in hot}
+    assert texts[100] == "Größe für überlastet" and texts[200] == "我们为它 ok 测得毫秒" and texts[300] == "on décale ici"
+
+
+def test_chain_of_the_document_decides_what_may_be_meant(spark):
+    """schšn might be meant and is as frequent as schön; beside a certain token of the same chain it is garbled, alone it is not told."""
+    docs = spark.createDataFrame([(1, "schön größer"), (2, broken("schön größer", "mac_roman", "cp1252")), (3, "schšn")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["restored"] for r in m.restore_texts(docs).collect()} == {2: "schön größer"}
