@@ -45,6 +45,7 @@ NEVER_LEADING = "¤¦¨ª¬¯²³´¶¸¹º¼½¾×÷ˆ˜˙˘˚˝˛ˇ"
 _NOT_CLEAN = re.compile("[�\x80-\x84\x86-\x9f]")
 _ASCII = re.compile("[\x00-\x7f]")
 _HAS_CJK = re.compile(f"[{_CJK}]")
+_CHINESE = re.compile(f"[{_CJK}{CONFUSED}·]+")
 
 
 def _table(encoding: str) -> str:
@@ -165,17 +166,38 @@ def _latin(c: str) -> bool:
     return c.isalpha() and c < "\u0250" and c not in "ªº"
 
 
-def peeled(cluster: str) -> list[tuple[str, str]]:
-    """(text, encoding) for every encoding in which the characters are the UTF-8 bytes of a shorter text."""
+def undone(token: str, written: str, reads: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(text, chain) for every one of the readings that loses nothing and gives the token from a text."""
     out = []
-    for read in READ_SINGLE if not _HAS_CJK.search(cluster) else ():
+    for read in reads:
         try:
-            out.append((codecs.charmap_encode(cluster, "strict", _MAPS[read])[0].decode("utf_8"), read))
+            data = codecs.charmap_encode(token, "strict", _MAPS[read])[0] if read in _MAPS else token.encode(read)
+            text = data.decode(written)
         except UnicodeError:
-            pass
+            continue
+        if text != token:
+            out.append((text, f"{written}>{read}"))
     return out
 
 
+def ideograph_pairs(text: str) -> set[str]:
+    """The distinct pairs of neighbouring ideographs."""
+    return {a + b for a, b in zip(text, text[1:]) if "\u3400" <= a <= "\u9fff" and "\u3400" <= b <= "\u9fff"}
+
+
+def chinese_readings(token: str) -> list[tuple[str, str]]:
+    """(text, first chain) for every Chinese run with neighbouring ideographs that a chain turns into the token."""
+    if len(token) < 3 or not _CLUSTERS.fullmatch(token):
+        return []
+    reads = READ_MULTI if _HAS_CJK.search(token) else (*READ_SINGLE, *READ_MULTI)
+    both = undone(token, "gbk", tuple(r for r in reads if r != "gbk")) + undone(token, "utf_8", reads)
+    first: dict[str, str] = {}
+    for text, chain in both:
+        if _CHINESE.fullmatch(text) and ideograph_pairs(text):
+            first.setdefault(text, chain)
+    return list(first.items())
+
+
 def oddity(token: str) -> int:
     """How many characters of a token can hardly be meant where they stand, whatever the frequency of the token.
 
@@ -185,7 +207,7 @@ def oddity(token: str) -> int:
     """
     if token[:1] in (LONE, OPENING):
         return 0
-    if any(len(c) > 1 and peeled(c) for c in _CLUSTERS.findall(token)):
+    if any(len(c) > 1 and not _HAS_CJK.search(c) and undone(c, "utf_8", READ_SINGLE) for c in _CLUSTERS.findall(token)):
         return 7
     token, odd, signs, known = token[:1000], 0, 0, ""  # signs: so many stand since the character known
     for i, c in enumerate(token):
@@ -258,6 +280,34 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, token string")
 
 
+def _chinese_by_pairs(vocabulary: DataFrame, clean: DataFrame) -> DataFrame:
+    """(token, original, chain, df, original_df, level) of runs that a chain makes of Chinese whose pairs of ideographs the clean runs have.
+
+    At least half of the pairs must be known: two of them, or the only one; three if ideographs would be made of ideographs.
+    """
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            new = set().union(*map(ideograph_pairs, batch.column("token").to_pylist())) - seen
+            seen |= new
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], names=["pair"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(t, df, o, c, sorted(ideograph_pairs(o))) for t, df in zip(batch.column("token").to_pylist(), batch.column("df").to_pylist()) for o, c in chinese_readings(t)]
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["token", "df", "original", "chain", "pairs"])
+
+    known = clean.filter(F.col("token").rlike("[\\x{3400}-\\x{9FFF}]{2}")).select("token").mapInArrow(pairs_of, "pair string").distinct()
+    runs = vocabulary.select("token", "df").mapInArrow(read, "token string, df bigint, original string, chain string, pairs array<string>")
+    met = runs.withColumn("total", F.size("pairs")).withColumn("pair", F.explode("pairs")).join(known, "pair").groupBy("token", "df", "original", "chain", "total").agg(F.count(F.lit(1)).alias("met"))
+    least = F.when(F.col("token").rlike(f"[{_CJK}]"), 3).otherwise(F.least(F.lit(2), F.col("total")))
+    best = met.filter((F.col("met") * 2 >= F.col("total")) & (F.col("met") >= least)).groupBy("token", "df").agg(F.max(F.struct((F.col("met") / F.col("total")).alias("share"), "met", "chain", "original")).alias("best"))
+    return best.select("token", "best.original", "best.chain", "df", F.lit(None).cast("bigint").alias("original_df"), F.lit(2).alias("level"))
+
+
 def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
     """(token, original, chain, df, original_df, level) for each distinct token that may be garbled; original is null if none is known.
 
@@ -315,6 +365,10 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
         matched = matched.join(step, "original", "left").select(
             "token", F.coalesce("first", "original").alias("original"), F.when(F.col("first").isNull(), F.col("chain")).otherwise(F.concat_ws(">", "before", "chain")).alias("chain"), "df", "original_df", "level"
         )
+    # Chinese runs are whole sentences, which need not stand clean elsewhere
+    chinese = cut_lineage(_chinese_by_pairs(vocabulary, clean).join(matched, "token", "left_anti"))
+    weak = weak.join(chinese, "token", "left_anti")
+    matched = matched.unionByName(chinese)
     lost = vocabulary.filter(F.col("token").rlike("[\\x{FFFD}\\x80-\\x84\\x86-\\x9F]")).join(matched, "token", "left_anti")
     none = F.lit(None)
     lost = lost.select("token", none.cast("string").alias("original"), none.cast("string").alias("chain"), "df", none.cast("bigint").alias("original_df"), F.lit(2).alias("level"))

@@ -75,3 +75,12 @@ def test_chain_of_the_document_decides_what_may_be_meant(spark):
     """schšn might be meant and is as frequent as schön; beside a certain token of the same chain it is garbled, alone it is not told."""
     docs = spark.createDataFrame([(1, "schön größer"), (2, broken("schön größer", "mac_roman", "cp1252")), (3, "schšn")], "doc_id bigint, text string")
     assert {r["doc_id"]: r["restored"] for r in m.restore_texts(docs).collect()} == {2: "schön größer"}
+
+
+def test_chinese_sentence_that_stands_nowhere_else(spark):
+    """The run is known by its pairs of ideographs only; Cyrillic, which is Chinese by its bytes, and Chinese as meant are left."""
+    clean = [(1, "我们为它测得毫秒，再丢弃其余部分。"), (2, "日志里没有过期的页面"), (3, "Запись обновлена Было сделано"), (4, "日本 ok 页面")]
+    sentence = "再测得过期的毫秒。"
+    bad = {10: ("gbk", "cp1252"), 11: ("gbk", "cp1251"), 12: ("utf_8", "mac_roman"), 13: ("utf_8", "cp437"), 14: ("gbk", "latin_1")}
+    docs = spark.createDataFrame(clean + [(i, broken(sentence, *chain)) for i, chain in bad.items()], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["restored"] for r in m.restore_texts(docs).collect()} == {i: sentence for i in bad}
