@@ -57,9 +57,9 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A case is hard if a piece had to end without a boundary and the check of the whole text confirms it."""
+    """A case is hard if a stretch longer than a piece has no break; splitting may still find other boundaries in it, such as U+2029."""
     pieces = _oversized(spark, sf_dir)
-    hard = F.max((F.col("end_kind") == "hard") & (F.col("unbroken") > 800))
+    hard = F.max(F.col("unbroken") > 800)
     return pieces.groupBy("item", "source", "item_no").agg(F.when(hard, "hard").otherwise("soft").alias("cut"))
 
 

@@ -59,3 +59,13 @@ def test_operator(spark):
     assert split_oversized(df.limit(0), ["source"]).count() == 0
     with pytest.raises(ValueError):
         split_oversized(df, ["source"], limit=10, overlap=10)
+
+
+def test_found_knows_only_the_breaks_of_the_query(spark, tmp_path):
+    """U+2029 ends a paragraph for the pieces, but the query's breaks don't include it."""
+    from quern.llm.queries import p5_found
+
+    texts = {1: "x" * 700 + "\u2029" + "y" * 700, 2: "x" * 700 + "\u2028" + "y" * 700, 3: "x" * 900}
+    spark.createDataFrame([("s", n, t) for n, t in texts.items()], "source string, page_no int, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "source string, chunk_id bigint, page_no int, text string, char_count int").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {r["item_no"]: r["cut"] for r in p5_found(spark, str(tmp_path)).collect()} == {1: "hard", 2: "soft", 3: "hard"}
