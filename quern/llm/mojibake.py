@@ -180,6 +180,17 @@ def undone(token: str, written: str, reads: tuple[str, ...]) -> list[tuple[str,
     return out
 
 
+def peeled(token: str) -> dict[str, str]:
+    """Texts that one or two readings of UTF-8 in a single-byte encoding turn into the token, with the chain from there."""
+    out: dict[str, str] = {}
+    todo = [(token, "")] if token[:1] not in (LONE, OPENING) else []
+    for _ in range(2):
+        todo = [(text, f">{chain}{rest}") for t, rest in todo for text, chain in undone(t, "utf_8", READ_SINGLE) if not text.isascii()]
+        for text, rest in todo:
+            out.setdefault(text, rest)
+    return out
+
+
 def ideograph_pairs(text: str) -> set[str]:
     """The distinct pairs of neighbouring ideographs."""
     return {a + b for a, b in zip(text, text[1:]) if "\u3400" <= a <= "\u9fff" and "\u3400" <= b <= "\u9fff"}
@@ -328,6 +339,12 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["h", "word_h", "original_df", "chain"])
 
+    def peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(_hash(text), t, df, rest) for t, df in zip(batch.column("token").to_pylist(), batch.column("df").to_pylist()) for text, rest in peeled(t).items()]
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string()))], names=["h", "token", "df", "rest"])
+
     always = [*ALWAYS_KNOWN, *(m + c for m in (LONE, OPENING) for c in CONFUSED)]
     clean = vocabulary.filter(~F.col("token").rlike("[\\x{FFFD}\\x80-\\x84\\x86-\\x9F]") & (~F.col("token").rlike(f"[{_CJK}]") | ~F.col("token").rlike("[A-Za-z]")))
     known = vocabulary.sparkSession.createDataFrame([(c, 0) for c in always], "token string, df bigint").withColumn("h", F.xxhash64("token"))
@@ -336,17 +353,20 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
     # a form of several characters in place of fewer can't be meant, nor can these characters alone, nor one odder than the word; of
     # equally odd ones, the form must be rarer than the word. A word odder than the form is no original
     oddness = F.pandas_udf(lambda tokens: tokens.map(lambda t: min(oddity(t), 7)).astype("int32"), "int")
-    met = forms.join(vocabulary, "h").withColumn("odd", oddness("token")).withColumn("word_odd", F.floor(F.col("chain") / 2).cast("int") % 8)
-    never_meant = (F.col("chain") % 2 == 1) | F.col("token").rlike(f"^{LONE}[{NEVER_ALONE}]$|^{OPENING}\\p{{Ll}}$")
+    # what was read wrongly again, in any order of encodings, is joined by what the last readings were given
+    again = vocabulary.select("token", "df").mapInArrow(peel, "h bigint, token string, df bigint, rest string")
+    met = forms.join(vocabulary.withColumn("rest", F.lit("")).unionByName(again), "h").withColumn("odd", oddness("token")).withColumn("word_odd", F.floor(F.col("chain") / 2).cast("int") % 8)
+    never_meant = (F.col("chain") % 2 == 1) | (F.col("rest") != "") | F.col("token").rlike(f"^{LONE}[{NEVER_ALONE}]$|^{OPENING}\\p{{Ll}}$")
     has_lost = F.col("token").contains("\ufffd")
     rarer = F.col("original_df") > F.col("df")
     usual = F.when(rarer, F.col("word_h"))
     best = (
-        met.filter(never_meant | (F.col("odd") >= F.col("word_odd")))
+        met.filter((F.col("rest") == "") | (F.col("chain") % 2 == 1))
+        .filter(never_meant | (F.col("odd") >= F.col("word_odd")))
         .withColumn("level", F.when(never_meant | (F.col("odd") > F.col("word_odd")), 2).when(rarer, 1).otherwise(0))
         .groupBy("token", "df")
         .agg(
-            F.max(F.struct("level", (has_lost & rarer).alias("rarer"), (-F.col("word_odd")).alias("even"), "original_df", "word_h", "chain")).alias("best"),
+            F.max(F.struct("level", (has_lost & rarer).alias("rarer"), (-F.col("word_odd")).alias("even"), "original_df", "word_h", (F.col("rest") == "").alias("direct"), "chain", "rest")).alias("best"),
             F.coalesce(F.min(usual) == F.max(usual), (F.min("word_h") == F.max("word_h")) & F.col("token").rlike("[A-Za-z].*[A-Za-z]")).alias("sole"),
         )
         .select("token", "df", "best.*", (F.col("sole") | ~has_lost).alias("clear"))
@@ -355,7 +375,7 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for name, n in CHAINS.items() for x in (n, name)])
     originals = sources.select(F.col("h").alias("word_h"), F.col("token").alias("original")).distinct()
     # characters that were lost come back only if a single word fits what is left
-    matched = best.join(originals, "word_h").select("token", F.when(F.col("clear"), F.col("original")).alias("original"), F.element_at(names, F.floor(F.col("chain") / 16).cast("int")).alias("chain"), "df", "original_df", "level")
+    matched = best.join(originals, "word_h").select("token", F.when(F.col("clear"), F.col("original")).alias("original"), F.concat(F.element_at(names, F.floor(F.col("chain") / 16).cast("int")), "rest").alias("chain"), "df", "original_df", "level")
     matched = cut_lineage(matched)  # garbled tokens only, read several times below
     # a word may itself be a form of another: what was garbled twice gets the first original
     matched, weak = matched.filter("level > 0"), matched.filter("level = 0")
@@ -409,7 +429,9 @@ def _undo(token: str, chains: set[str]) -> str | None:
             except (UnicodeError, LookupError):
                 text = None
                 break
-        if text and text != token and not _NOT_CLEAN.search(text) and chain in garbled_forms(text).values() and garbled_forms(text).get(token):
+        if not text or text == token or _NOT_CLEAN.search(text):
+            continue
+        if (chain in garbled_forms(text).values() and garbled_forms(text).get(token)) if chain in CHAINS else garble(text, chain) == token:
             return text
     return None
 

@@ -84,3 +84,11 @@ def test_chinese_sentence_that_stands_nowhere_else(spark):
     bad = {10: ("gbk", "cp1252"), 11: ("gbk", "cp1251"), 12: ("utf_8", "mac_roman"), 13: ("utf_8", "cp437"), 14: ("gbk", "latin_1")}
     docs = spark.createDataFrame(clean + [(i, broken(sentence, *chain)) for i, chain in bad.items()], "doc_id bigint, text string")
     assert {r["doc_id"]: r["restored"] for r in m.restore_texts(docs).collect()} == {i: sentence for i in bad}
+
+
+def test_any_two_or_three_readings_in_a_row(spark):
+    """Orders of encodings that the table of forms leaves out, with words whose once garbled form stands nowhere."""
+    chains = {10: ("mac_roman", "cp1252"), 11: ("cp437", "latin_1"), 12: ("iso8859_15", "mac_roman"), 13: ("koi8_r", "cp1251"), 14: ("mac_roman", "cp850", "latin_1")}
+    bad = {i: broken("für größte", *(x for read in reads for x in ("utf_8", read))) for i, reads in chains.items()}
+    docs = spark.createDataFrame([(1, "für"), (2, "größte"), *bad.items()], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["restored"] for r in m.restore_texts(docs).collect()} == {i: "für größte" for i in bad}
