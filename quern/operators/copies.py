@@ -21,6 +21,9 @@ from quern.session import cut_lineage
 #: Cells in each of the three parts of a bucket's table, entries aimed at for a bucket, and the same for a stratum of the estimate.
 PART, AIM, STRATUM_PART, STRATA = 512, 600, 43, 40
 
+#: Differing identities (two hashes each) that are broadcast at most to fetch their rows; more of them are joined by a shuffle.
+FEW = 500_000
+
 _CELL = ["n", "k1", "k2", "h", "chk"]
 
 
@@ -113,13 +116,14 @@ def _hashed(df: DataFrame, side: str, keys: list[str], fields: dict[str, Column]
     )
 
 
-def differences(a: DataFrame, b: DataFrame, keys: list[str], fields: dict[str, Column], order: Column) -> DataFrame:
+def differences(a: DataFrame, b: DataFrame, keys: list[str], fields: dict[str, Column], order: Column, few: int = FEW) -> DataFrame:
     """(keys, diff, value_a, value_b) for every identity that only one copy has and every field whose values differ.
 
     An identity is the exact values of `keys`, none of them null; on each side the row with the greatest `order` (null is least)
     stands for it, of several such rows the one with the greatest content hash. diff is 'only_a', 'only_b' or the name of a field;
     null equals null and differs from every value. value_a and value_b are the field's values as text. Repeated rows count once,
-    rows without an identity are left out, two empty or equal copies give no rows, other columns are ignored.
+    rows without an identity are left out, two empty or equal copies give no rows, other columns are ignored. Up to `few` differing
+    identities are sent to the rows, so that only the rows that differ are moved; that number is counted first.
     """
     rows = _hashed(a, "a", keys, fields, order).unionByName(_hashed(b, "b", keys, fields, order))
     latest = rows.groupBy("side", "k1", "k2").agg(F.max(F.struct("ord", "h")).alias("top"))
@@ -142,14 +146,17 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], fields: dict[str, C
         .agg(F.max(F.when(F.col("side") == "a", F.col("h"))).alias("ha"), F.max(F.when(F.col("side") == "b", F.col("h"))).alias("hb"))
         .filter(~F.col("ha").eqNullSafe(F.col("hb")))
     )
-    differing = peeled.filter("whole").select("k1", "k2").unionByName(plain.select("k1", "k2")).distinct()
-    return _compare(rows, differing, keys, list(fields))
+    differing = cut_lineage(peeled.filter("whole").select("k1", "k2").unionByName(plain.select("k1", "k2")).distinct())
+    return _compare(rows, differing, differing.count() <= few, keys, list(fields))
 
 
-def _compare(rows: DataFrame, differing: DataFrame, keys: list[str], names: list[str], salts: int = 8) -> DataFrame:
-    # one identity may have very many rows: they meet their key in several tasks, then only the latest of each task is moved
-    salted = differing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    fetched = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, ["k1", "k2", "salt"], "left_semi")
+def _compare(rows: DataFrame, differing: DataFrame, few: bool, keys: list[str], names: list[str], salts: int = 8) -> DataFrame:
+    if few:
+        fetched = rows.join(F.broadcast(differing), ["k1", "k2"], "left_semi")
+    else:
+        # one identity may have very many rows: they meet their key in several tasks, then only the latest of each task is moved
+        salted = differing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        fetched = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, ["k1", "k2", "salt"], "left_semi")
     key_names = [f"key{i}" for i in range(len(keys))]
     content = F.struct("ord", "h", *[f"f{i}" for i in range(len(names))])
     both = fetched.groupBy(*key_names).agg(F.max(F.when(F.col("side") == "a", content)).alias("a"), F.max(F.when(F.col("side") == "b", content)).alias("b"))

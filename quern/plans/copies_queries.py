@@ -27,13 +27,16 @@ _INSTANT = "epoch_us(CAST(CASE WHEN regexp_matches(created_at, '[T ][0-9]{2}:[0-
 _LATEST = (
     "SELECT DISTINCT ON (source, chunk_id) source, chunk_id, text, page_no, us FROM (SELECT *, {i} AS us FROM {t} WHERE source IS NOT NULL AND chunk_id IS NOT NULL) ORDER BY source, chunk_id, us DESC NULLS LAST"
 )
-SQL = {
-    "p2_found": f"""
+_BOTH = f"""
 WITH a AS ({_LATEST.format(i=_INSTANT, t="replica_a")}), b AS ({_LATEST.format(i=_INSTANT, t="replica_b")}),
  j AS (SELECT coalesce(a.source, b.source) AS source, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.source IS NULL AS no_a, b.source IS NULL AS no_b,
-  a.text IS DISTINCT FROM b.text AS t, a.us IS DISTINCT FROM b.us AS c, a.page_no IS DISTINCT FROM b.page_no AS p
-  FROM a FULL JOIN b ON a.source = b.source AND a.chunk_id = b.chunk_id)
-SELECT source, chunk_id, 'only_a' AS diff FROM j WHERE no_b UNION ALL SELECT source, chunk_id, 'only_b' FROM j WHERE no_a
-UNION ALL SELECT source, chunk_id, 'text' FROM j WHERE t AND NOT no_a AND NOT no_b UNION ALL SELECT source, chunk_id, 'created_at' FROM j WHERE c AND NOT no_a AND NOT no_b
-UNION ALL SELECT source, chunk_id, 'page_no' FROM j WHERE p AND NOT no_a AND NOT no_b""",
+  a.text AS at, b.text AS bt, a.us AS au, b.us AS bu, a.page_no AS ap, b.page_no AS bp FROM a FULL JOIN b ON a.source = b.source AND a.chunk_id = b.chunk_id),
+ d AS (SELECT source, chunk_id, 'only_a' AS diff, NULL AS value_a, NULL AS value_b FROM j WHERE no_b UNION ALL SELECT source, chunk_id, 'only_b', NULL, NULL FROM j WHERE no_a
+  UNION ALL SELECT source, chunk_id, 'text', at, bt FROM j WHERE at IS DISTINCT FROM bt AND NOT no_a AND NOT no_b
+  UNION ALL SELECT source, chunk_id, 'created_at', CAST(au AS VARCHAR), CAST(bu AS VARCHAR) FROM j WHERE au IS DISTINCT FROM bu AND NOT no_a AND NOT no_b
+  UNION ALL SELECT source, chunk_id, 'page_no', CAST(ap AS VARCHAR), CAST(bp AS VARCHAR) FROM j WHERE ap IS DISTINCT FROM bp AND NOT no_a AND NOT no_b)
+"""
+SQL = {
+    "p2_found": _BOTH + "SELECT source, chunk_id, diff FROM d",
+    "p2_differences": _BOTH + "SELECT source, chunk_id, diff, value_a, value_b FROM d",
 }

@@ -13,9 +13,9 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], DDL)
 
 
-def diff(a, b):
+def diff(a, b, few=copies.FEW):
     at = instant(F.col("created_at"))
-    got = copies.differences(a, b, ["source", "chunk_id"], {"text": F.col("text"), "created_at": at, "page_no": F.col("page_no")}, at)
+    got = copies.differences(a, b, ["source", "chunk_id"], {"text": F.col("text"), "created_at": at, "page_no": F.col("page_no")}, at, few)
     return sorted((r["source"], r["chunk_id"], r["diff"]) for r in got.collect())
 
 
