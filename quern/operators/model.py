@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
+from quern.operators.numbering import numbered_rows
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str = "text", tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -33,16 +34,8 @@ class Model:
     n_docs: int
 
     def with_index(self) -> DataFrame:
-        """(term, term_idx, df, idf): terms numbered from 0 in order, without gathering them in one task.
-
-        Terms are split by their first character, whose counts (one row each) give every group its offset.
-        """
-        first = F.substring("term", 1, 1)
-        groups = self.terms.groupBy(first.alias("c")).agg(F.count(F.lit(1)).alias("n"))
-        offset = groups.select("c", (F.sum("n").over(Window.orderBy("c")) - F.col("n")).alias("offset"))
-        place = F.row_number().over(Window.partitionBy("c").orderBy("term"))
-        rows = self.terms.withColumn("c", first).withColumn("place", place).join(F.broadcast(offset), "c")
-        return rows.select("term", (F.col("offset") + F.col("place") - 1).cast("bigint").alias("term_idx"), "df", "idf")
+        """(term, term_idx, df, idf): terms numbered from 0 in order, without gathering them in one task."""
+        return numbered_rows(self.terms, [F.col("term")], "term_idx", 0).select("term", "term_idx", "df", "idf")
 
     def save(self, path: str) -> None:
         self.terms.select(F.lit(self.model_id).alias("model_id"), "*").write.mode("overwrite").parquet(f"{path}/model_terms")
@@ -66,8 +59,10 @@ class Model:
 def fit(docs: DataFrame, id_col: str, text_col: str = "text", model_id: str = "tfidf", tokenizer: Callable[[Column], Column] = tokens, counts: DataFrame | None = None) -> Model:
     """idf = ln(N / df) + 1 over all documents, empty ones included."""
     n_docs = docs.count()
-    counts = counts if counts is not None else token_counts(docs, id_col, text_col, tokenizer)
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if counts is not None:
+        df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    else:  # the distinct terms of each document, summed before they are shuffled
+        df = docs.select(F.explode(F.array_distinct(tokenizer(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return Model(model_id, df.withColumn("idf", F.log(F.lit(float(n_docs)) / F.col("df")) + 1), n_docs)
 
 
@@ -76,6 +71,12 @@ def weights(counts: DataFrame, model: Model) -> DataFrame:
     return counts.join(model.terms, "term").select("doc_id", "term", (F.col("n") / F.col("n_tokens") * F.col("idf")).alias("weight"))
 
 
+def units(vectors: DataFrame) -> DataFrame:
+    """(doc_id, term, weight) of vectors of length 1; vectors without length are left out. One shuffle, by document."""
+    size = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc_id")))
+    return vectors.select("doc_id", "term", "weight", size.alias("size")).filter("size > 0").select("doc_id", "term", (F.col("weight") / F.col("size")).alias("weight"))
+
+
 def norms(vectors: DataFrame) -> DataFrame:
     """(doc_id, norm): the length of each vector."""
     return vectors.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))

@@ -6,10 +6,11 @@ that is read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.chunking import chunk_pages
+from quern.operators.numbering import numbered_rows
 
 SCHEMA_VERSION = 1
 RECORD_SCHEMA = "chunk_id bigint, page_no int, text string, vector map<string,double>, created_at timestamp, source string, source_chunk_id bigint"
@@ -25,12 +26,8 @@ def next_id(store: DataFrame) -> int:
 
 
 def numbered(rows: DataFrame, order: list[str], start: int, by: str = "source") -> DataFrame:
-    """chunk_id from `start` on, by source and order: numbers within each source plus an offset from the sources' counts."""
-    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    offset = sizes.select(F.col(by).alias("of"), (F.sum("n").over(Window.orderBy(F.col(by).asc_nulls_first())) - F.col("n")).alias("offset"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    joined = rows.withColumn("place", place).join(offset, F.col(by).eqNullSafe(F.col("of")))
-    return joined.withColumn("chunk_id", (F.col("offset") + F.col("place") + F.lit(start - 1)).cast("bigint")).drop("place", "of", "offset")
+    """chunk_id from `start` on, by source and order. A source of any size is spread over tasks."""
+    return numbered_rows(rows, [F.col(by).asc_nulls_first(), *map(F.col, order)], "chunk_id", start)
 
 
 def append(store: DataFrame, rows: DataFrame, created_at: Column, order: list[str]) -> DataFrame:

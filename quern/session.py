@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,30 +39,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of the scratch scopes that are open, the innermost last.
+_SCOPES: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a temporary one for a local session, else an error.
+
+    A machine's own temporary folder would lose what the executors of other machines write.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.environ.get("QUERN_LOCAL_SHARED") or tempfile.mkdtemp(prefix="quern-")
         os.environ["QUERN_LOCAL_SHARED"] = named
     return named
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has yet, within the innermost open scratch scope."""
+    return f"{_SCOPES[-1] if _SCOPES else f'{shared_dir(spark)}/quern'}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that later plans neither recompute it nor lose it with an executor.
 
     A written table rather than checkpoint(): it is columnar, compressed and prunable.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A scope whose written tables are deleted at its end: use it around a query and the action that consumes its result."""
+    path = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
+    _SCOPES.append(path)
+    try:
+        yield path
+    finally:
+        _SCOPES.remove(path)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path, files = _path(spark, name)
+    files.delete(path, True)
+
+
 def clean_shared(spark: SparkSession) -> None:
     """Delete all tables that cut_lineage and the index wrote; DataFrames that read them can't be used afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/quern")
 
 
 def _path(spark: SparkSession, name: str):
