@@ -2,7 +2,7 @@
 
 What depends on order alone (backlogs, bounded admission) is computed per queue and time bucket first and joined by prefix, so a
 queue that holds a large share of the log is spread over tasks; aging with resets is sequential by nature and streams through one
-task per queue in constant memory.
+task per queue, which holds what waits.
 """
 
 from __future__ import annotations
@@ -100,32 +100,61 @@ def admission(log: DataFrame, capacity: int, bucket: str = "day") -> DataFrame:
     return ordered(started).mapInPandas(play, f"{schema}, accepted boolean")
 
 
+class _Aging:
+    """Waiting tasks of one queue: a heap by rank and a heap by the time of the next gain; a task gains at most cap times."""
+
+    def __init__(self, interval: int, cap: int):
+        self.interval, self.cap = interval, cap
+        self.ranks: list[tuple[int, int]] = []  # (-(priority + gain), seq); out of date where the gain has grown since
+        self.timers: list[tuple[int, int]] = []  # (time of the next gain, seq)
+        self.tasks: dict[int, tuple[int, int, int, str]] = {}  # seq: (priority, gain, timer started, task)
+
+    def push(self, at: int, seq: int, task: str, priority: int) -> None:
+        self.tasks[seq] = (priority, 0, at, task)
+        heapq.heappush(self.ranks, (-priority, seq))
+        if self.interval > 0 and self.cap > 0:
+            heapq.heappush(self.timers, (at + self.interval, seq))
+
+    def pop(self, at: int) -> str | None:
+        while self.timers and self.timers[0][0] <= at:
+            _, seq = heapq.heappop(self.timers)
+            if seq not in self.tasks:
+                continue
+            priority, gain, since, task = self.tasks[seq]
+            gain = min(self.cap, gain + (at - since) // self.interval)
+            self.tasks[seq] = (priority, gain, at, task)
+            heapq.heappush(self.ranks, (-(priority + gain), seq))
+            if gain < self.cap:
+                heapq.heappush(self.timers, (at + self.interval, seq))
+        while self.ranks:
+            rank, seq = heapq.heappop(self.ranks)
+            if seq in self.tasks and -rank == self.tasks[seq][0] + self.tasks[seq][1]:
+                return self.tasks.pop(seq)[3]
+        return None
+
+
 def drain_with_aging(log: DataFrame, interval_ms: int, cap: int) -> DataFrame:
     """(queue_id, pop_no, task_id): what each pop takes; log (queue_id, at_ms, seq, task_id, priority) has a null task_id for pops.
 
     At a pop every waiting task gains a level for each whole interval since its timer started, which then starts again; the highest
-    of priority and gain, cap at most, goes first, of equal ones the oldest. A pop of an empty queue gives no row.
+    of priority and gain, cap at most, goes first, of equal ones the oldest. A pop of an empty queue gives no row. What a pop takes
+    depends on all before it, so a queue is one task's; the task holds what waits and needs the logarithm of that for each step.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queue, waiting, popped = None, [], 0
+        queue, waiting, popped = None, _Aging(interval_ms, cap), 0
         for frame in frames:
             out = []
             for name, at, seq, task, priority in frame[["queue_id", "at_ms", "seq", "task_id", "priority"]].itertuples(index=False, name=None):
                 if name != queue:
-                    queue, waiting, popped = name, [], 0
+                    queue, waiting, popped = name, _Aging(interval_ms, cap), 0
                 if task is not None:
-                    waiting.append([int(priority), seq, at, 0, task])
+                    waiting.push(at, seq, task, int(priority))
                     continue
-                for w in waiting:
-                    steps = (at - w[2]) // interval_ms if interval_ms > 0 else 0
-                    if steps >= 1:
-                        w[3], w[2] = min(cap, w[3] + int(steps)), at
-                if waiting:
-                    best = heapq.nsmallest(1, waiting, key=lambda w: (-(w[0] + w[3]), w[1]))[0]
-                    waiting.remove(best)
+                best = waiting.pop(at)
+                if best is not None:
                     popped += 1
-                    out.append((name, popped, best[4]))
+                    out.append((name, popped, best))
             yield pd.DataFrame(out, columns=["queue_id", "pop_no", "task_id"])
 
     kinds = {f.name: f.dataType.simpleString() for f in log.schema}
@@ -133,6 +162,17 @@ def drain_with_aging(log: DataFrame, interval_ms: int, cap: int) -> DataFrame:
     return rows.mapInPandas(run, f"queue_id {kinds['queue_id']}, pop_no bigint, task_id {kinds['task_id']}")
 
 
+def steals(log: DataFrame) -> DataFrame:
+    """(worker, executed, stolen, lost) of log (worker, home): tasks a worker ran, those of another home among them, and its own that others ran.
+
+    A row without a home was given to the worker that ran it. The totals of a run are the sums over the workers.
+    """
+    home = F.coalesce("home", "worker")
+    ran = log.select("worker", F.lit(1).alias("e"), (home != F.col("worker")).cast("int").alias("s"), F.lit(0).alias("l"))
+    given = log.filter(home != F.col("worker")).select(home.alias("worker"), F.lit(0).alias("e"), F.lit(0).alias("s"), F.lit(1).alias("l"))
+    return ran.unionByName(given).groupBy("worker").agg(F.sum("e").alias("executed"), F.sum("s").alias("stolen"), F.sum("l").alias("lost"))
+
+
 def telemetry(log: DataFrame) -> DataFrame:
     """(worker, done, failed, skipped, rejected, total_us, avg_task_ms) of log (worker, outcome, elapsed_us); only Done tasks have a time."""
     count = lambda o: F.count_if(F.col("outcome") == o)

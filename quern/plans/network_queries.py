@@ -107,9 +107,7 @@ def dag_timings(spark, sf_dir):
 
 
 def dag_critical_path(spark, sf_dir):
-    found = dag.critical_path(*_settled(spark, sf_dir))
-    path, total = found or ([], 0)
-    return spark.createDataFrame([(n, i, total) for i, n in enumerate(path)], "id bigint, place bigint, total_us bigint")
+    return dag.critical_path_rows(*_settled(spark, sf_dir))
 
 
 def _queue(spark, sf_dir) -> DataFrame:

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from quern.operators import dag, graph, sched
 
-EDGES = [("Agent项目", "考研目标"), ("考研目标", "南邮"), ("考研目标", "408"), ("408", "C++"), ("Agent项目", "分布式系统")]
+#: A wheel: a hub with six rim nodes in a ring, and a tail of two nodes on one of them.
+EDGES = [("hub", f"r{i}") for i in range(6)] + [(f"r{i}", f"r{(i + 1) % 6}") for i in range(6)] + [("r2", "t1"), ("t1", "t2")]
 
 
 @pytest.fixture(scope="module")
 def net(spark):
-    twice = EDGES + [("南邮", "考研目标")]
-    return graph.build(spark.createDataFrame(twice, "a string, b string"), spark.createDataFrame([("alone",), ("408",)], "id string"))
+    twice = EDGES + [("r1", "r0"), ("t2", "t1")]
+    return graph.build(spark.createDataFrame(twice, "a string, b string"), spark.createDataFrame([("alone",), ("r4",)], "id string"))
 
 
 def ids(df):
@@ -19,15 +20,15 @@ def ids(df):
 
 
 def test_graph(spark, net):
-    assert tuple(net.counts().first()) == (7, 5)
-    assert ids(net.neighbors("考研目标")) == {"Agent项目", "南邮", "408"} and ids(net.neighbors("x")) == set()
-    assert ids(net.k_hop("考研目标", 1)) == {"Agent项目", "南邮", "408"}
-    assert {r["id"]: r["hops"] for r in net.k_hop("考研目标", 2).collect()} == {"Agent项目": 1, "南邮": 1, "408": 1, "分布式系统": 2, "C++": 2}
+    assert tuple(net.counts().first()) == (10, 14)
+    assert ids(net.neighbors("r2")) == {"hub", "r1", "r3", "t1"} and ids(net.neighbors("x")) == set()
+    assert ids(net.k_hop("t1", 1)) == {"r2", "t2"}
+    assert {r["id"]: r["hops"] for r in net.k_hop("t2", 3).collect()} == {"t1": 1, "r2": 2, "hub": 3, "r1": 3, "r3": 3}
     assert ids(net.k_hop("x", 2)) == set()
     relevance = {r["id"]: r["relevance"] for r in net.relevance().collect()}
-    assert relevance["考研目标"] == 1 and relevance["南邮"] == pytest.approx(1 / 3) and relevance["alone"] == 0
+    assert relevance["hub"] == 1 and relevance["r0"] == 0.5 and relevance["t2"] == pytest.approx(1 / 6) and relevance["alone"] == 0
     with pytest.raises(ValueError):
-        net.k_hop("408", 0)
+        net.k_hop("hub", 0)
     for bad in (("", "b"), ("a", "a"), (None, "b")):
         with pytest.raises(Exception, match="two different, named"):
             graph.build(spark.createDataFrame([bad], "a string, b string")).counts().collect()
@@ -77,11 +78,48 @@ def test_cycles(spark, whole):
     }
 
 
+@BOTH
+def test_a_null_outcome_is_not_done(spark, whole):
+    nodes, edges = tasks(spark, [1, 1, 1], [(0, 1), (1, 2)], {0: None})
+    assert {r["id"]: r["outcome"] for r in dag.propagate(nodes, edges, whole).collect()} == {0: None, 1: "Skipped", 2: "Skipped"}
+
+
+@BOTH
+def test_edges_to_lower_ids(spark, whole):
+    """Without a cycle such a graph is numbered anew and has all its results under the old ids."""
+    nodes, edges = tasks(spark, [5, 7, 11, 2], [(3, 1), (1, 0), (3, 2), (2, 0)], {3: "Done"})
+    assert {r["id"]: r["level"] for r in dag.levels(nodes, edges, whole).collect()} == {3: 0, 1: 1, 2: 1, 0: 2}
+    assert dag.critical_path(nodes, edges, whole) == ([3, 2, 0], 18)
+    failed, _ = tasks(spark, [1] * 4, [], {3: "Failed"})
+    assert {r["outcome"] for r in dag.propagate(failed, edges, whole).filter("id <> 3").collect()} == {"Skipped"}
+
+
+def long_path(spark, n):
+    nodes = spark.range(n).select("id", F.lit("Done").alias("outcome"), F.lit(1).cast("bigint").alias("begin_us"), F.lit(3).cast("bigint").alias("end_us"))
+    return nodes, spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+
+
+def test_depth_costs_no_jobs(spark):
+    """Beyond the bound a path of 5,000 nodes is walked in ranges, its critical path found by doubling, and a cycle told at once."""
+    nodes, edges = long_path(spark, 5000)
+    assert dag.levels(nodes, edges, 0).agg(F.max("level")).first()[0] == 4999
+    path, total = dag.critical_path(nodes, edges, 0)
+    assert path == list(range(5000)) and total == 10_000
+    failed = nodes.withColumn("outcome", F.when(F.col("id") == 10, "Failed").otherwise("Done"))
+    assert dag.propagate(failed, edges, 0).filter("outcome = 'Skipped'").count() == 4989
+    with pytest.raises(ValueError):
+        dag.levels(nodes, edges.unionByName(spark.createDataFrame([(4999, 0)], "src bigint, dst bigint")), 0)
+
+
 def test_both_ways_agree(spark):
     rng = random.Random(5)
-    edges = sorted({(rng.randrange(i), i) for i in range(1, 60) for _ in range(2)})
-    nodes, links = tasks(spark, [rng.randrange(100) for _ in range(60)], edges)
+    n = 2000
+    edges = sorted({(rng.randrange(max(0, i - 300), i), i) for i in range(1, n) for _ in range(2)})
+    nodes, links = tasks(spark, [rng.randrange(100) for _ in range(n)], edges, {i: "Failed" for i in range(0, n, 97)})
     a, b = (sorted(map(tuple, dag.timings(nodes, links, whole=w).collect())) for w in (dag.WHOLE, 0))
+    for f in (dag.levels, dag.propagate):
+        assert sorted(map(tuple, f(nodes, links).collect())) == sorted(map(tuple, f(nodes, links, 0).collect()))
+    assert dag.critical_path(nodes, links) == dag.critical_path(nodes, links, 0)
     assert a == b and all(r[3] == r[2] + r[1] and r[5] == r[4] + r[1] for r in a)
 
 
@@ -130,6 +168,34 @@ def test_aging_pops(spark):
     assert [r["task_id"] for r in sched.drain_with_aging(log, 0, 2).orderBy("pop_no").collect()] == ["high", "low"]
 
 
+def test_aging_pops_against_a_loop(spark):
+    """Every waiting task is looked at in each pop, as the rule says it."""
+    rng = random.Random(8)
+    rows, at = [], 0
+    for i in range(400):
+        at += rng.randrange(4)
+        rows.append(("q", at, i, None if rng.random() < 0.45 else f"t{i}", rng.randrange(4)))
+    waiting, want = [], []
+    for _, at, seq, task, priority in rows:
+        if task is not None:
+            waiting.append([priority, seq, at, 0, task])
+            continue
+        for w in waiting:
+            if (at - w[2]) // 7 >= 1:
+                w[3], w[2] = min(3, w[3] + (at - w[2]) // 7), at
+        if waiting:
+            best = min(waiting, key=lambda w: (-(w[0] + w[3]), w[1]))
+            waiting.remove(best)
+            want.append(best[4])
+    log = spark.createDataFrame(rows, "queue_id string, at_ms bigint, seq bigint, task_id string, priority int")
+    assert [r["task_id"] for r in sched.drain_with_aging(log, 7, 3).orderBy("pop_no").collect()] == want
+
+
+def test_steals(spark):
+    log = spark.createDataFrame([(0, 0), (1, 0), (1, 0), (1, None), (2, 1)], "worker int, home int")
+    assert {tuple(r) for r in sched.steals(log).collect()} == {(0, 1, 0, 2), (1, 3, 2, 1), (2, 1, 1, 0)}
+
+
 def test_telemetry(spark):
     log = spark.createDataFrame([(0, "Done", 2000), (0, "Done", 2000), (2, "Done", 2000), (1, "Failed", 9), (1, "Skipped", 9)], "worker int, outcome string, elapsed_us bigint")
     got = {r["worker"]: (r["done"], r["failed"], r["avg_task_ms"]) for r in sched.telemetry(log).collect()}
