@@ -2,39 +2,35 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.arrow import shared_tables
 from quern.functions.score import DAY_S, Weights, memory_score, recency
 from quern.operators import model as tfidf
-from quern.session import shared_dir
+from quern.session import new_folder
 
+#: Parts that documents are split into when they are joined by their terms.
+PARTS = 8
 
-def similarities(query_vectors: DataFrame, doc_vectors: DataFrame, query_norms: DataFrame | None = None, doc_norms: DataFrame | None = None) -> DataFrame:
+
+def similarities(query_vectors: DataFrame, doc_vectors: DataFrame, parts: int = PARTS) -> DataFrame:
     """(qid, doc_id, score): the cosine of every query and document that share a term.
 
-    An inverted index as a plan: join on the term, sum by pair, join the norms. Queries are vectors (qid, term, weight). The sums are
-    combined before they are shuffled; a very common term is spread by the skew handling of the join.
+    An inverted index as a plan: vectors are made unit vectors before they meet, so the sums by pair, combined before they are shuffled,
+    are the scores and no pair is joined again. Queries are vectors (qid, term, weight), the smaller side: each of their rows
+    is repeated for `parts` parts of the documents, so a term that stands in most documents is joined in as many tasks.
     """
-    query_norms = query_norms if query_norms is not None else tfidf.norms(query_vectors.withColumnRenamed("qid", "doc_id")).withColumnRenamed("doc_id", "qid")
-    doc_norms = doc_norms if doc_norms is not None else tfidf.norms(doc_vectors)
-    dots = (
-        query_vectors.withColumnRenamed("weight", "wq")
-        .join(doc_vectors, "term")
-        .groupBy("qid", "doc_id")
-        .agg(F.sum(F.col("wq") * F.col("weight")).alias("dot"))
-    )
-    joined = dots.join(query_norms.withColumnRenamed("norm", "nq"), "qid").join(doc_norms, "doc_id").filter("nq > 0 and norm > 0")
+    asked = tfidf.units(query_vectors.withColumnRenamed("qid", "doc_id")).select(F.col("doc_id").alias("qid"), "term", F.col("weight").alias("wq"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    docs = tfidf.units(doc_vectors).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    scores = asked.join(docs, ["term", "part"]).groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
     # rounding may push the cosine of equal vectors just over 1
-    return joined.select("qid", "doc_id", F.least(F.lit(1.0), F.col("dot") / (F.col("nq") * F.col("norm"))).alias("score"))
+    return scores.select("qid", "doc_id", F.least(F.lit(1.0), "score").alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: Column | None = None, part: str = "qid", tie: str = "doc_id") -> DataFrame:
@@ -45,13 +41,13 @@ def top_k(scored: DataFrame, k: int, by: Column | None = None, part: str = "qid"
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_search(query_vectors: DataFrame, doc_vectors: DataFrame, k: int = 5, min_score: float = 0.05, doc_norms: DataFrame | None = None) -> DataFrame:
+def vector_search(query_vectors: DataFrame, doc_vectors: DataFrame, k: int = 5, min_score: float = 0.05) -> DataFrame:
     """(qid, doc_id, score, rank) of the k most similar documents of at least min_score.
 
     With min_score 0 or less, documents that share no term count too, with score 0: only the smallest ids among them can be
     hits, so each query is joined with a few documents at most and never with all.
     """
-    scored = similarities(query_vectors, doc_vectors, doc_norms=doc_norms).filter(F.col("score") >= min_score)
+    scored = similarities(query_vectors, doc_vectors).filter(F.col("score") >= min_score)
     if min_score > 0:
         return top_k(scored, k)
     best = top_k(scored, k)
@@ -99,50 +95,69 @@ def memory_search(
     return ranked.select("qid", F.col("doc_id").alias("chunk_id"), "page_no", "score", "raw_score", "recency", "parts", "rank")
 
 
-def _files(path: str) -> tuple:
-    return pa.fs.FileSystem.from_uri(path if urlparse(path).scheme else f"file://{path}")
+def _matrix(batch: pa.RecordBatch | pa.Table, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of the rows with `width` numbers (the first row's number if None) that have a direction."""
+    pairs = [(i, v) for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist()) if v and None not in v and (width is None or len(v) == width)]
+    if not pairs:
+        return np.empty(0, np.int64), np.empty((0, width or 0))
+    width = width or len(pairs[0][1])
+    pairs = [(i, v) for i, v in pairs if len(v) == width]
+    ids, m = np.array([i for i, _ in pairs], np.int64), np.array([v for _, v in pairs])
+    size = np.sqrt((m * m).sum(1))
+    good = np.isfinite(size) & (size > 0)
+    return ids[good], m[good] / size[good][:, None]
 
 
-def dense_top_k(queries: DataFrame, rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
+def dense_top_k(queries: DataFrame, rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2048, held: int = 16, at_once: int = 20_000) -> DataFrame:
     """(qid, doc_id, score, rank): exact cosine over dense arrays of one length.
 
-    The queries are written once to the shared folder in blocks; every batch of rows is multiplied with one block after the other
-    and keeps its k best for each query, so only those are shuffled. Rows of another length, with nulls or without direction
-    don't match; a row isn't its own neighbour.
+    The queries are written once to the shared folder in blocks. A task multiplies `at_once` of its rows with one block after the other
+    and keeps the k best for each query, so only those are shuffled; it keeps up to `held` blocks, so that queries that fit are read
+    and made into a matrix once for each task, and more of them once for each `at_once` rows. Rows of another length, with
+    nulls or without direction don't match; a row isn't its own neighbour.
     """
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     unit = lambda df: df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     unit(queries).write.option("maxRecordsPerFile", block).parquet(path)
 
-    def matrix(batch, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(i, v) for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist()) if v and None not in v and (width is None or len(v) == width)]
-        if not pairs:
-            return np.empty(0, np.int64), np.empty((0, width or 0))
-        width = width or len(pairs[0][1])
-        pairs = [(i, v) for i, v in pairs if len(v) == width]
-        ids, m = np.array([i for i, _ in pairs], np.int64), np.array([v for _, v in pairs])
-        size = np.sqrt((m * m).sum(1))
-        good = np.isfinite(size) & (size > 0)
-        return ids[good], m[good] / size[good][:, None]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _files(path)
-        names = sorted(f.path for f in files.get_file_info(pa.fs.FileSelector(base)) if f.path.endswith(".parquet"))
-        for batch in batches:
-            ids, rows_m = matrix(batch)
-            for name in names if len(ids) else []:
-                q_ids, q = matrix(pq.read_table(files.open_input_file(name)), rows_m.shape[1])
+        kept: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+
+        def asked(width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if kept and len(kept) <= held and all(w == width for w, _, _ in kept.values()):
+                yield from ((ids, m) for _, ids, m in kept.values())
+                return
+            kept.clear()
+            for n, table in enumerate(shared_tables(path)):
+                ids, m = _matrix(table, width)
+                if n <= held:  # one too many shows that they don't fit
+                    kept[n] = (width, ids, m)
+                yield ids, m
+
+        def best(some: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m = _matrix(pa.Table.from_batches(some))
+            for q_ids, q in asked(m.shape[1]) if len(ids) else ():
                 if not len(q_ids):
                     continue
-                score = np.minimum(q @ rows_m.T, 1.0)
+                score = np.minimum(q @ m.T, 1.0)
                 score[q_ids[:, None] == ids[None, :]] = -np.inf
                 keep = min(k, len(ids))
                 # by score, then by id: ids in order and a stable sort
                 order = np.argsort(ids, kind="stable")
-                best = order[np.argsort(-np.round(score[:, order], 9), axis=1, kind="stable")[:, :keep]]
-                value = np.take_along_axis(score, best, 1)
+                first = order[np.argsort(-np.round(score[:, order], 9), axis=1, kind="stable")[:, :keep]]
+                value = np.take_along_axis(score, first, 1)
                 ok = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, keep)[ok.ravel()]), pa.array(ids[best][ok]), pa.array(value[ok])], names=["qid", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, keep)[ok.ravel()]), pa.array(ids[first][ok]), pa.array(value[ok])], names=["qid", "doc_id", "score"])
+
+        some, size = [], 0
+        for batch in batches:
+            some.append(batch)
+            size += batch.num_rows
+            if size >= at_once:
+                yield from best(some)
+                some, size = [], 0
+        if size:
+            yield from best(some)
 
     return top_k(unit(rows).mapInArrow(run, "qid bigint, doc_id bigint, score double"), k)

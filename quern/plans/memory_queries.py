@@ -9,6 +9,7 @@ from quern.functions.score import DAY_S, Weights, decay, half_life, memory_score
 from quern.functions.text import normalize_text
 from quern.functions.timestamps import instant
 from quern.operators import chunking, evaluate, model, search, store
+from quern.operators.records import grouped_each, one_each
 from quern.session import cut_lineage, table
 
 AS_OF = "2026-11-01 00:00:00"
@@ -20,10 +21,16 @@ def _as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct records of memory_records: repeated deliveries are equal, so one of them stands for all."""
-    rows = table(spark, sf_dir, "memory_records").filter(F.col("chunk_id").isNotNull())
-    return rows.groupBy("chunk_id").agg(*[F.max(c).alias(c) for c in ("page_no", "text", "created_at", "source", "source_chunk_id")])
+def records(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The distinct records of memory_records, one of the equal deliveries for each; `more` columns besides the small ones and the text."""
+    rows = table(spark, sf_dir, "memory_records").select("chunk_id", "page_no", "text", "created_at", "source", "source_chunk_id", *more)
+    return one_each(rows, "chunk_id")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, text) of the distinct records, partitioned by chunk_id, so that what is counted in a record needs no further shuffle."""
+    rows = table(spark, sf_dir, "memory_records").filter(F.col("chunk_id").isNotNull()).select("chunk_id", "text")
+    return grouped_each(rows, "chunk_id")
 
 
 def normalize_lines(spark, sf_dir):
@@ -45,13 +52,14 @@ def chunk_totals(spark, sf_dir):
 
 
 def token_counts(spark, sf_dir):
-    return model.token_counts(records(spark, sf_dir), "chunk_id").select("doc_id", "term", "n", "n_tokens")
+    return model.token_counts(_texts(spark, sf_dir), "chunk_id").select("doc_id", "term", "n", "n_tokens")
 
 
 def _fitted(spark, sf_dir) -> tuple[DataFrame, model.Model]:
-    rows = records(spark, sf_dir).select("chunk_id", "text")
-    counts = cut_lineage(model.token_counts(rows, "chunk_id"))
-    return counts, model.fit(rows, "chunk_id", counts=counts)
+    """(token counts, model) of the records' texts; the model's terms are written, as they are joined several times."""
+    rows = _texts(spark, sf_dir)
+    fitted = model.fit(records(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    return model.token_counts(rows, "chunk_id"), model.Model(fitted.model_id, cut_lineage(fitted.terms), fitted.n_docs)
 
 
 def doc_freq(spark, sf_dir):
@@ -267,7 +275,7 @@ QUERIES = {
     )
 }
 
-_R = "r AS (SELECT chunk_id, max(page_no) AS page_no, max(text) AS text, max(created_at) AS created_at, max(source) AS source, max(source_chunk_id) AS source_chunk_id FROM memory_records WHERE chunk_id IS NOT NULL GROUP BY chunk_id)"
+_R = "r AS (SELECT DISTINCT ON (chunk_id) chunk_id, page_no, text, created_at, source, source_chunk_id, vector FROM memory_records WHERE chunk_id IS NOT NULL)"
 _LIST = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+|[一-鿿]'), lambda w: lower(w))"
 _C = f"""{_R}, l AS (SELECT chunk_id AS doc_id, {_LIST.format("text")} AS ws FROM r),
  c AS (SELECT doc_id, term, count(*) AS n, any_value(k) AS n_tokens FROM (SELECT doc_id, len(ws) AS k, unnest(ws) AS term FROM l) GROUP BY doc_id, term),

@@ -106,8 +106,12 @@ def test_metrics(spark):
     assert evaluate.macro(evaluate.metrics(hits, truth)).first()["recall"] == pytest.approx(1 / 3)
 
 
-@pytest.mark.parametrize("block", [200_000, 2])
-def test_truth(spark, block):
+@pytest.mark.parametrize("block,automaton", [(1 << 20, True), (2, True), (2, False)])
+def test_truth(spark, monkeypatch, block, automaton):
+    """One part and several, with the automaton and without."""
+    if not automaton:
+        plain = lambda words: lambda t: {t[i : i + n] for n in {len(w) for w in words} for i in range(len(t) - n + 1) if t[i : i + n] in words}
+        monkeypatch.setattr(evaluate, "_finder", plain)
     questions = spark.createDataFrame([(1, "ab"), (2, "b c"), (3, None), (4, ""), (5, "zz"), (6, "ab")], "qid int, keyword string")
     records = spark.createDataFrame([(1, "xabx"), (2, "ab c"), (3, None), (2, "ab c")], "chunk_id bigint, text string")
     got = {tuple(r) for r in evaluate.truth_sets(questions, records, block).collect()}
