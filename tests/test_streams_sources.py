@@ -91,6 +91,23 @@ def test_frame_source(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(frame("three")[:-1])
     with pytest.raises(Exception, match="within a frame"):
         rows.collect()
+    assert spark.read.format("frames").option("path", str(tmp_path / "a.bin")).load().count() == 2
+
+
+def test_frame_stream_takes_late_files_with_early_names(spark, tmp_path):
+    spark.dataSource.register(FrameSource)
+    (tmp_path / "in").mkdir()
+
+    def run():
+        stream = spark.readStream.format("frames").option("path", str(tmp_path / "in")).option("settled", "0").load()
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    (tmp_path / "in" / "b.bin").write_bytes(frame("one") + frame("two"))
+    run()
+    (tmp_path / "in" / "a.bin").write_bytes(frame("three"))
+    run()
+    run()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a.bin", 1, "three"), ("b.bin", 1, "one"), ("b.bin", 2, "two")]
 
 
 def test_pages(spark, tmp_path):
