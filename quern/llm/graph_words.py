@@ -75,8 +75,7 @@ def text_distinctiveness(records: DataFrame, id_col: str = "chunk_id", text_col:
     base = distinct_records(records, id_col, text_col, None).filter(F.col("text").isNotNull())
     graph = base.mapInArrow(_graphs(window), GRAPH_SCHEMA).filter(F.col("tf") >= min_tf)
     df = base.select(F.explode(F.array_distinct(F.transform(text_terms(F.col("text")), F.lower))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = records.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).agg(F.count_distinct(id_col).alias("n"))
-    n = total.first()["n"]
+    n = base.count()
     score = F.col("degree") * F.log((F.lit(float(n)) + 1) / F.col("df"))
     hot_from = max(n // hot_share, 16, max_df or 0) + 1
     hot = F.broadcast(df.filter(F.col("df") >= hot_from))

@@ -1,7 +1,8 @@
 """How often every distinct term occurs, and in how many records.
 
-Per-record counts come from a hash aggregation on (record, term) that needs no exchange of its own because the records are
-already partitioned by their id; the sums per term are combined on the map side before the only large shuffle.
+Texts are never shuffled: ids alone tell which records were delivered more than once, and only those few rows are brought together.
+Every record gives its terms in order, the first of equal ones marked, so one hash aggregation, combined on the map side, sums
+occurrences and records before the only shuffle, which is as large as the vocabulary.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import TOKEN_PATTERN
+from quern.operators.records import REPEATED, one_each
 
 
 def text_terms(text: Column) -> Column:
@@ -17,29 +19,14 @@ def text_terms(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def distinct_records(records: DataFrame, id_col: str = "chunk_id", text_col: str = "text", vector_col: str | None = "vector") -> DataFrame:
-    """One row (rec_id, text, keys) per record id.
+def distinct_records(records: DataFrame, id_col: str = "chunk_id", text_col: str = "text", vector_col: str | None = "vector", repeated: int = REPEATED) -> DataFrame:
+    """One row (rec_id, text, keys) per record id; without a vector column just (rec_id, text).
 
-    Repeated deliveries are equal; should copies differ, the greatest text and the greatest key list stand for the record.
-    Rows without an id name no record and are left out.
+    Repeated deliveries are equal; should copies differ, one of them stands for the record as a whole. Rows without an id name no
+    record and are left out.
     """
-    keys = F.map_keys(F.col(vector_col)) if vector_col else F.lit(None).cast("array<string>")
-    return (
-        records.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text"), keys.alias("keys"))
-        .groupBy("rec_id")
-        .agg(F.max("text").alias("text"), *([F.max("keys").alias("keys")] if vector_col else []))
-    )
-
-
-def record_counts(records: DataFrame, id_col: str = "chunk_id", text_col: str = "text", vector_col: str = "vector") -> DataFrame:
-    """(field, n_records): the number of distinct records whose text, and whose vector, is not null; always two rows."""
-    has = (
-        records.filter(F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("rec_id"))
-        .agg(F.max(F.col(text_col).isNotNull()).alias("t"), F.max(F.col(vector_col).isNotNull()).alias("v"))
-    )
-    return has.agg(F.count_if("t").alias("t"), F.count_if("v").alias("v")).select(F.expr("stack(2, 'text', t, 'vector', v) as (field, n_records)"))
+    keys = [F.map_keys(F.col(vector_col)).alias("keys")] if vector_col else []
+    return one_each(records.select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text"), *keys), "rec_id", repeated)
 
 
 def term_statistics(
@@ -56,19 +43,15 @@ def term_statistics(
     `rare_at_most` records, else 'common' for one in more than `common_above` of the records whose field is not null, else null.
     Null and empty fields add no term, an empty table gives no rows, repeated rows count once, other columns are ignored.
     """
-    counted = (
-        distinct_records(records, id_col, text_col, vector_col)
-        .withColumn("terms", text_terms(F.col("text")))
-        .select("rec_id", F.expr("stack(2, 'text', terms, 'vector', keys) as (field, terms)"))
-    )
-    per_record = (
-        counted.select("rec_id", "field", F.explode("terms").alias("term"))
-        .select("rec_id", "field", F.when(F.col("field") == "text", F.lower("term")).otherwise(F.col("term")).alias("term"))
-        .groupBy("rec_id", "field", "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    totals = per_record.groupBy("field", "term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("n_docs"))
-    sizes = record_counts(records, id_col, text_col, vector_col)
+    base = distinct_records(records, id_col, text_col, vector_col)
+    # in order, so that equal terms of a record stand together and the first of them counts the record
+    ordered = base.select(F.sort_array(F.transform(text_terms(F.col("text")), F.lower)).alias("words"), "keys")
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))))
+    marked = F.zip_with("words", before, lambda w, b: F.struct(w.alias("term"), (~w.eqNullSafe(b)).alias("first")))
+    once = F.transform("keys", lambda k: F.struct(k.alias("term"), F.lit(True).alias("first")))
+    listed = ordered.select(marked.alias("words"), once.alias("keys")).select(F.expr("stack(2, 'text', words, 'vector', keys) as (field, terms)"))
+    totals = listed.select("field", F.inline("terms")).filter(F.col("term").isNotNull()).groupBy("field", "term").agg(F.count(F.lit(1)).alias("occurrences"), F.count_if("first").alias("n_docs"))
+    sizes = base.agg(F.count("text").alias("t"), F.count("keys").alias("v")).select(F.expr("stack(2, 'text', t, 'vector', v) as (field, n_records)"))
     return totals.join(F.broadcast(sizes), "field").select(
         "field",
         "term",
