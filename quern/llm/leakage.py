@@ -21,6 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.arrow import by_length
+from quern.session import cut_lineage
+
+#: Bytes of items that are sent to the executors at most: their arrays take about 15 times as much in every Python worker, 120 MB
+#: at this limit. The largest filter of seeds has 2 to this power bits, 32 MB.
+BROADCAST_BYTES, FILTER_BITS = 8 << 20, 28
 
 _WORD = re.compile("[㐀-鿿]|[^\\W_㐀-鿿]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -134,14 +139,15 @@ def _tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> tuple[int, int,
     return len(item), matched, found[0][2], len(found), matched / len(item)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_match: int = 12, min_coverage: float = 0.0, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_match: int = 12, min_coverage: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, item_words, matched_words, longest, tiles, coverage) for every document with a passage of an item.
 
     A passage is `min_match` successive words of the item, or all words of a shorter one; coverage is the share of the item's
-    words in tiles, and pairs below `min_coverage` are left out. If the items' texts together are within `broadcast_bytes` they
-    are sent to the executors and each document is tiled where it is read, without a shuffle; beyond that, seeds are joined
-    by hash and only texts of matching pairs are fetched. Null texts and texts without words match nothing; repeated rows count
-    once; rows without an id are left out; empty tables give no rows; other columns are ignored.
+    words in tiles, and pairs below `min_coverage` are left out. If the items' texts together are within `broadcast_bytes` their
+    words and seeds are sent to the executors as arrays and each document is tiled where it is read, without a shuffle; beyond that, a
+    filter of the items' seeds is sent instead, only documents that pass it are moved, and seeds are joined by hash. Null texts and
+    texts without words match nothing; repeated rows count once; rows without an id are left out; empty tables give no rows;
+    other columns are ignored.
     """
     words("é")  # the pattern of dropped characters is made here once and travels with the functions, instead of once in each task
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -153,30 +159,45 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     ).select("doc_id", "item_id", "item_words", "matched_words", "longest", "tiles", "coverage")
 
 
-class _Items:
-    """Seeds of all items by length, and the words' numbers."""
+class Items:
+    """Items as arrays: numbers of their words, and all their seeds with the items that hold them, sorted by length and hash."""
 
     def __init__(self, rows: list[tuple[int, str]], min_match: int):
-        self.ids = [i for i, _ in rows]
-        split = [words(t) for _, t in rows]
-        self.vocabulary = {w: n for n, w in enumerate(sorted({w for s in split for w in s}), 1)}
-        self.codes = [np.array([self.vocabulary[w] for w in s], dtype=np.uint64) for s in split]
-        seeds: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for n, codes in enumerate(self.codes):
-            if len(codes):
-                size = min(min_match, len(codes))
-                for h in rolling(codes, size).tolist():
-                    seeds[size][h].add(n)
-        self.seeds = {size: (np.array(sorted(by), dtype=np.uint64), by) for size, by in seeds.items()}
+        self.ids = np.array([i for i, _ in rows], np.int64)
+        self.vocabulary: dict[str, int] = {}
+        codes = [np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t)), np.uint32) for _, t in rows]
+        self.ends = np.cumsum([len(c) for c in codes]).astype(np.int64)
+        self.codes = np.concatenate(codes) if codes else np.empty(0, np.uint32)
+        by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        for n, c in enumerate(codes):
+            if len(c):
+                size = min(min_match, len(c))
+                seeds = np.unique(rolling(c.astype(np.uint64), size))
+                by_size[size].append((seeds, np.full(len(seeds), n, np.int32)))
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, parts in by_size.items():
+            seeds, holders = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(seeds, kind="stable")
+            self.seeds[size] = seeds[order], holders[order]
+
+    def words_of(self, n: int) -> np.ndarray:
+        return self.codes[self.ends[n - 1] if n else 0 : self.ends[n]].astype(np.uint64)
+
+    def holders(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in hashes, item) for every item that holds one of some hashes."""
+        seeds, holders = self.seeds[size]
+        low, high = np.searchsorted(seeds, hashes, "left"), np.searchsorted(seeds, hashes, "right")
+        times = high - low
+        return np.repeat(np.arange(len(hashes)), times), holders[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())]
 
 
 def _broadcast_leaks(docs: DataFrame, items: DataFrame, min_match: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.collect()])  # size checked by the caller
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Items([(r["item_id"], r["text"]) for r in items.collect()], min_match)))  # size checked by the caller
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
+        known = Items.__new__(Items)  # only arrays travel
+        vars(known).update(shared.value)
         for batch in by_length(batches, "text", 1_000_000):
-            known = known or _Items(shared.value, min_match)
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             out = [[] for _ in range(7)]
             split = [words(t) for t in texts]
@@ -186,20 +207,19 @@ def _broadcast_leaks(docs: DataFrame, items: DataFrame, min_match: int) -> DataF
             ends = np.cumsum(sizes)
             owner = np.repeat(np.arange(len(split)), sizes)
             unknown = np.concatenate([[0], np.cumsum(flat == 0)])
-            for size, (hashes, by) in known.seeds.items():
+            for size in known.seeds:
                 if len(flat) < size:
                     continue
                 at = np.arange(len(flat) - size + 1)
                 at = at[(unknown[at + size] == unknown[at]) & (owner[at] == owner[at + size - 1])]
                 if not len(at):
                     continue
-                rolled = rolling(flat, size)[at]
-                hit = np.isin(rolled, hashes)
-                pairs = {(d, n) for d, h in zip(owner[at[hit]].tolist(), rolled[hit].tolist()) for n in by[h]}
-                for d, n in pairs:
-                    got = _tile(known.codes[n], flat[ends[d] - sizes[d] : ends[d]], min_match)
+                place, item = known.holders(size, rolling(flat, size)[at])
+                pairs = np.unique(owner[at[place]] * len(known.ids) + item)
+                for d, n in zip((pairs // len(known.ids)).tolist(), (pairs % len(known.ids)).tolist()):
+                    got = _tile(known.words_of(n), flat[ends[d] - sizes[d] : ends[d]], min_match)
                     if got:
-                        for column, value in zip(out, (ids[d], known.ids[n], *got)):
+                        for column, value in zip(out, (ids[d], int(known.ids[n]), *got)):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
@@ -208,18 +228,64 @@ def _broadcast_leaks(docs: DataFrame, items: DataFrame, min_match: int) -> DataF
     return docs.mapInArrow(run, f"doc_id bigint, item_id bigint, {RESULT}")
 
 
-def _shuffled_leaks(docs: DataFrame, items: DataFrame, min_match: int) -> DataFrame:
+def _bits(seeds: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of every seed in a filter of `bits` bits, a power of two."""
+    with np.errstate(over="ignore"):
+        mixed = seeds.astype(np.uint64) * _BASE
+    return [((mixed >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 17, 34)]
+
+
+def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
+    """A filter with the bits of all seeds: made in tasks, combined by 64-bit word, so at most bits / 64 small rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.unique(np.concatenate(_bits(batch.column("seed").to_numpy().view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array((np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64))], names=["word", "mask"])
+
+    out = np.zeros(bits // 64, np.int64)
+    for r in seeds.select("seed").mapInArrow(run, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+        out[r["word"]] = r["mask"]
+    return out
+
+
+def _shuffled_leaks(docs: DataFrame, items: DataFrame, min_match: int, parts: int = 8) -> DataFrame:
     lengths = sorted({r["n"] for r in items.mapInPandas(_sizes(min_match), "n int").distinct().collect()})  # at most min_match values
-    left = docs.mapInPandas(_seeds("doc_id", lengths, min_match, every=True), "doc_id bigint, size int, seed bigint")
-    right = items.mapInPandas(_seeds("item_id", lengths, min_match, every=False), "item_id bigint, size int, seed bigint").distinct()
-    # only seeds that some item has are kept before any pair is formed
-    pairs = left.join(right, ["size", "seed"]).select("doc_id", "item_id").distinct()
-    texts = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id").select("doc_id", "item_id", "item_text", "text").distinct()
+    right = cut_lineage(items.mapInPandas(_seeds(min_match), "item_id bigint, size int, seed bigint").distinct())
+    # about twelve bits a seed; beyond the largest filter it lets more documents through, which costs time but no rows
+    bits = 1 << min(max(10, (12 * right.count()).bit_length()), FILTER_BITS)
+    shared = docs.sparkSession.sparkContext.broadcast(seed_filter(right, bits))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in by_length(batches, "text", 1_000_000):
+            kept, found = [], []
+            for n, text in enumerate(batch.column("text").to_pylist()):
+                codes, own = word_codes(words(text)), []
+                for size in lengths:
+                    seeds = np.unique(rolling(codes, size))
+                    ok = np.ones(len(seeds), bool)
+                    for place in _bits(seeds, bits):
+                        ok &= (held[place >> 6] >> (place & 63)) & 1 == 1
+                    own += [{"size": size, "seed": s} for s in seeds[ok].view(np.int64).tolist()]
+                if own:
+                    kept.append(n)
+                    found.append(own)
+            some = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), pa.array(found, kind)], names=["doc_id", "text", "seeds"])
+
+    kind = pa.list_(pa.struct([("size", pa.int32()), ("seed", pa.int64())]))
+    near = cut_lineage(docs.mapInArrow(passing, "doc_id bigint, text string, seeds array<struct<size:int,seed:bigint>>"))
+    # a seed that very many documents share is joined in several parts, by document; the items' seeds are repeated for each part
+    left = near.select("doc_id", F.inline("seeds")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = left.join(right, ["size", "seed", "part"]).select("doc_id", "item_id").distinct()
+    texts = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(near.select("doc_id", "text"), "doc_id").distinct()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc_id, item_id, item, text in frame.itertuples(index=False):
+            for doc_id, item_id, item, text in frame[["doc_id", "item_id", "item_text", "text"]].itertuples(index=False):
                 got = _tile(word_codes(words(item)), word_codes(words(text)), min_match)
                 if got:
                     rows.append((doc_id, item_id, *got))
@@ -237,19 +303,19 @@ def _sizes(min_match: int):
     return run
 
 
-def _seeds(id_name: str, lengths: list[int], min_match: int, every: bool):
+def _seeds(min_match: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ids, sizes, seeds = [], [], []
-            for key, text in zip(frame[id_name], frame["text"]):
+            for key, text in zip(frame["item_id"], frame["text"]):
                 codes = word_codes(words(text))
-                for size in lengths if every else [min(min_match, len(codes))]:
-                    if size and len(codes) >= size:
-                        rolled = np.unique(rolling(codes, size).view(np.int64))
-                        ids.append(np.full(len(rolled), key))
-                        sizes.append(np.full(len(rolled), size))
-                        seeds.append(rolled)
+                size = min(min_match, len(codes))
+                if size:
+                    rolled = np.unique(rolling(codes, size)).view(np.int64)
+                    ids.append(np.full(len(rolled), key))
+                    sizes.append(np.full(len(rolled), size))
+                    seeds.append(rolled)
             if ids:
-                yield pd.DataFrame({id_name: np.concatenate(ids), "size": np.concatenate(sizes).astype("int32"), "seed": np.concatenate(seeds)})
+                yield pd.DataFrame({"item_id": np.concatenate(ids), "size": np.concatenate(sizes).astype("int32"), "seed": np.concatenate(seeds)})
 
     return run

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm.leakage import find_leaks, rolling, tiles, words
+from quern.llm.leakage import Items, find_leaks, rolling, seed_filter, tiles, words
 
 
 def plain_words(text):
@@ -54,7 +54,7 @@ def brute(docs, items, least=12):
     return out
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 0])
+@pytest.mark.parametrize("limit", [8 << 20, 0])
 def test_against_brute_force(spark, limit):
     """Both ways: items sent to the executors, and seeds joined by a shuffle."""
     rng = random.Random(4)
@@ -76,3 +76,40 @@ def test_against_brute_force(spark, limit):
     assert whole == {102: (1.0, 20, 2), 103: (1.0, 25, 1)}
     assert find_leaks(left, right, min_coverage=2.0, broadcast_bytes=limit).count() == 0
     assert find_leaks(left.limit(0), right, broadcast_bytes=limit).count() == 0 and find_leaks(left, right.limit(0), broadcast_bytes=limit).count() == 0
+
+
+def test_items_take_little_memory():
+    """The bound of what is sent is meant for arrays: about 15 bytes for each byte of text."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    vocabulary = [f"word{i}" for i in range(20_000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=60))) for i in range(4000)]
+    size = sum(len(t) for _, t in rows)
+    tracemalloc.start()
+    items = Items(rows, 12)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 15 * size and len(items.words_of(3999)) == 60
+    seeds = rolling(items.words_of(7), 12)
+    place, item = items.holders(12, seeds)
+    assert set(item.tolist()) == {7} and len(place) == len(seeds)
+
+
+def test_seed_filter_has_every_seed(spark):
+    rows = [(int(x),) for x in np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 500)]
+    from quern.llm.leakage import _bits
+
+    held = seed_filter(spark.createDataFrame(rows, "seed bigint"), 1 << 13)
+    inside = lambda xs: np.all([(held[p >> 6] >> (p & 63)) & 1 == 1 for p in _bits(np.array(xs, np.int64).view(np.uint64), 1 << 13)], axis=0)
+    assert inside([r[0] for r in rows]).all() and inside(np.arange(1, 2000)).mean() < 0.1
+
+
+def test_coverage_threshold_takes_reordered_passages_and_leaves_short_ones(spark):
+    """Both halves of an item in the other order cover it; twelve words of a long item are a passage but little coverage."""
+    item = [f"q{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(item[30:] + ["x", "y"] + item[:30])), (2, " ".join(["z"] * 5 + item[5:17]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string")
+    for limit in (8 << 20, 0):
+        assert {r["doc_id"]: (round(r["coverage"], 2), r["tiles"]) for r in find_leaks(docs, items, broadcast_bytes=limit).collect()} == {1: (1.0, 2), 2: (0.2, 1)}
+        assert [r["doc_id"] for r in find_leaks(docs, items, min_coverage=0.5, broadcast_bytes=limit).collect()] == [1]
