@@ -6,7 +6,8 @@ Parameters are checked when a plan is built (ValueError); values in columns are
 from __future__ import annotations
 
 import math
-from dataclasses import astuple, dataclass
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,14 +25,18 @@ class Weights:
     importance: float = 0.1
     graph: float = 0.05
 
-    def __post_init__(self):
-        if any(w < 0 for w in astuple(self)) or sum(astuple(self)) <= 0:
-            raise ValueError("weights must not be negative, nor all zero")
-
 
 PARTS = ("semantic", "recency", "activation", "importance", "graph")
 
 
+def checked(weights: Mapping[str, float]) -> dict[str, float]:
+    """Weights by part; negative ones, ones that aren't numbers, or none above 0 raise ValueError."""
+    out = {part: float(weights.get(part, 0.0)) for part in PARTS}
+    if not all(w >= 0 for w in out.values()) or not any(out.values()):
+        raise ValueError("weights must not be negative, nor all zero")
+    return out
+
+
 def _within(value: Column, low: float | None, high: float | None, name: str) -> Column:
     bad = F.lit(False)
     if low is not None:
@@ -48,7 +53,10 @@ def decay(start: Column, rate: float, seconds: Column) -> Column:
     return _within(start, 0, 1, "start") * F.exp(-F.lit(float(rate)) * _within(seconds, 0, None, "seconds"))
 
 
-def half_life(rate: float) -> float:
+def half_life(rate: float | Column) -> float | Column:
+    """Seconds in which an activation halves, of a rate or of a column of rates."""
+    if isinstance(rate, Column):
+        return F.log(F.lit(2.0)) / F.when(rate > 0, rate).otherwise(F.raise_error(F.lit("rate must be positive")).cast("double"))
     if rate <= 0:
         raise ValueError("rate must be positive")
     return math.log(2) / rate
@@ -80,7 +88,7 @@ def recency(created: Column, as_of: Column, half_life_s: float = 30 * DAY_S) ->
 
 def memory_score(parts: dict[str, Column], weights: Weights | None = None) -> tuple[Column, Column]:
     """(score, parts as a struct): the weighted sum of parts within [0, 1]; parts not given are 0."""
-    weights = weights or Weights()
-    checked = {p: _within(parts.get(p, F.lit(0.0)), 0, 1, p) for p in PARTS}
-    total = sum((F.lit(float(getattr(weights, p))) * c for p, c in checked.items()), F.lit(0.0))
-    return total, F.struct(*[c.alias(p) for p, c in checked.items()])
+    share = checked(asdict(weights or Weights()))
+    values = {p: _within(parts.get(p, F.lit(0.0)), 0, 1, p) for p in PARTS}
+    total = sum((F.lit(share[p]) * c for p, c in values.items()), F.lit(0.0))
+    return total, F.struct(*[c.alias(p) for p, c in values.items()])

@@ -105,6 +105,14 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD_SCHEMA).parquet(f"{path}/records")
 
 
+def load_or_empty(spark: SparkSession, path: str) -> DataFrame:
+    """The store in a folder, an empty one if there is none yet; another version is still an error."""
+    try:
+        return load(spark, path)
+    except FileNotFoundError:
+        return empty(spark)
+
+
 def export_json(store: DataFrame, path: str) -> None:
     """One JSON object a line, in UTF-8 without escapes."""
     store.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)

@@ -30,11 +30,11 @@ _LATEST = (
 _BOTH = f"""
 WITH a AS ({_LATEST.format(i=_INSTANT, t="replica_a")}), b AS ({_LATEST.format(i=_INSTANT, t="replica_b")}),
  j AS (SELECT coalesce(a.source, b.source) AS source, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.source IS NULL AS no_a, b.source IS NULL AS no_b,
-  a.text AS at, b.text AS bt, a.us AS au, b.us AS bu, a.page_no AS ap, b.page_no AS bp FROM a FULL JOIN b ON a.source = b.source AND a.chunk_id = b.chunk_id),
+  a.text AS ta, b.text AS tb, a.us AS ua, b.us AS ub, a.page_no AS pa, b.page_no AS pb FROM a FULL JOIN b ON a.source = b.source AND a.chunk_id = b.chunk_id),
  d AS (SELECT source, chunk_id, 'only_a' AS diff, NULL AS value_a, NULL AS value_b FROM j WHERE no_b UNION ALL SELECT source, chunk_id, 'only_b', NULL, NULL FROM j WHERE no_a
-  UNION ALL SELECT source, chunk_id, 'text', at, bt FROM j WHERE at IS DISTINCT FROM bt AND NOT no_a AND NOT no_b
-  UNION ALL SELECT source, chunk_id, 'created_at', CAST(au AS VARCHAR), CAST(bu AS VARCHAR) FROM j WHERE au IS DISTINCT FROM bu AND NOT no_a AND NOT no_b
-  UNION ALL SELECT source, chunk_id, 'page_no', CAST(ap AS VARCHAR), CAST(bp AS VARCHAR) FROM j WHERE ap IS DISTINCT FROM bp AND NOT no_a AND NOT no_b)
+  UNION ALL SELECT source, chunk_id, 'text', ta, tb FROM j WHERE ta IS DISTINCT FROM tb AND NOT no_a AND NOT no_b
+  UNION ALL SELECT source, chunk_id, 'created_at', CAST(ua AS VARCHAR), CAST(ub AS VARCHAR) FROM j WHERE ua IS DISTINCT FROM ub AND NOT no_a AND NOT no_b
+  UNION ALL SELECT source, chunk_id, 'page_no', CAST(pa AS VARCHAR), CAST(pb AS VARCHAR) FROM j WHERE pa IS DISTINCT FROM pb AND NOT no_a AND NOT no_b)
 """
 SQL = {
     "p2_found": _BOTH + "SELECT source, chunk_id, diff FROM d",

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.score import DAY_S, Weights, decay, half_life, memory_score, rate_of, recency, reinforce
-from quern.functions.text import normalize_text
+from quern.functions.segment import bigrams, segmenter
+from quern.functions.text import is_token, normalize_text
 from quern.functions.timestamps import instant
 from quern.operators import chunking, evaluate, model, search, store
 from quern.operators.records import grouped_each, one_each
-from quern.session import cut_lineage, table
+from quern.plans.pipeline import TfidfBackend
+from quern.session import cut_lineage, new_folder, table
 
 AS_OF = "2026-11-01 00:00:00"
 SINCE = "2026-09-01 00:00:00"
@@ -170,7 +172,7 @@ def decay_curve(spark, sf_dir):
 
 def half_lives(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 1000 + 0.001).alias("rate"))
-    return rows.select("event_id", F.round(F.log(F.lit(2.0)) / F.col("rate"), 6).alias("half_life"), F.lit(round(half_life(0.1), 6)).alias("of_tenth"))
+    return rows.select("event_id", F.round(half_life(F.col("rate")), 6).alias("half_life"), F.lit(round(half_life(0.1), 6)).alias("of_tenth"))
 
 
 def reinforce_counts(spark, sf_dir):
@@ -184,16 +186,97 @@ def _pages_with_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter(F.col("source").isNotNull())
 
 
+def _part_of_store(spark, sf_dir):
+    """A store without the sources whose names have an even length."""
+    return table(spark, sf_dir, "memory_records").filter(F.length("source") % 2 == 1)
+
+
 def ingest_new_only(spark, sf_dir):
-    chunks = store.new_chunks(table(spark, sf_dir, "memory_records"), _pages_with_text(spark, sf_dir))
-    return chunking.chunk_stats(chunks)
+    """Chunks of the pages whose source isn't in the store."""
+    return chunking.chunk_stats(store.new_chunks(_part_of_store(spark, sf_dir), _pages_with_text(spark, sf_dir)))
 
 
 def force_reload(spark, sf_dir):
-    """Records by source after all pages were ingested again with force."""
-    encode = lambda rows: rows.withColumn("vector", F.map_from_arrays(F.array(F.lit("t")), F.array(F.lit(1.0))))
+    """Records by source after all pages were ingested again with force, encoded by the model of the records; chunks without a known term drop out."""
+    fitted = _fitted(spark, sf_dir)[1]
+
+    def encode(rows: DataFrame) -> DataFrame:
+        keyed = rows.withColumn("key", F.concat_ws("\u001f", "source", F.col("chunk_seq").cast("string")))
+        return TfidfBackend.vectors(keyed, fitted)
+
     new = store.ingest(table(spark, sf_dir, "memory_records"), _pages_with_text(spark, sf_dir), encode, _as_of(), force=True)
-    return new.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("created_at") == _as_of()).alias("fresh"), F.min("chunk_id").alias("least_id"), F.max("chunk_id").alias("greatest_id"))
+    fresh = F.col("created_at") == _as_of()
+    return new.groupBy("source").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(fresh).alias("fresh"), F.min("chunk_id").alias("least_id"), F.max("chunk_id").alias("greatest_id"), F.coalesce(F.sum(F.when(fresh, F.size("vector"))), F.lit(0)).cast("bigint").alias("fresh_terms")
+    )
+
+
+def _small_vectors(spark, sf_dir):
+    """(source, page_no, text, vector) of pages: lengths as weights, empty vectors for empty texts, none for null ones."""
+    length = F.length("text").cast("double")
+    vector = F.when(length > 0, F.create_map(F.lit("length"), length)).when(F.col("text").isNotNull(), F.create_map().cast("map<string,double>"))
+    return _pages_with_text(spark, sf_dir).distinct().withColumn("vector", vector)
+
+
+def append_local(spark, sf_dir):
+    """The new rows of the store after pages were appended: those with an empty or null vector are left out."""
+    memory = table(spark, sf_dir, "memory_records")
+    new = store.append(memory, _small_vectors(spark, sf_dir).withColumn("k", F.md5("text")), _as_of(), ["page_no", "k"])
+    return new.filter(F.col("chunk_id") >= store.next_id(memory)).select("chunk_id", "source", "page_no", "source_chunk_id", F.md5("text").alias("hash"))
+
+
+def append_remote(spark, sf_dir):
+    """Another device's records get new local ids and keep their own number and time."""
+    memory = table(spark, sf_dir, "memory_records")
+    remote = table(spark, sf_dir, "replica_b").filter("source is not null and chunk_id is not null").select("source", "chunk_id").distinct()
+    rows = remote.select("chunk_id", F.lit(1).alias("page_no"), F.lit("t").alias("text"), F.create_map(F.lit("t"), F.lit(1.0)).alias("vector"), F.lit(AS_OF).cast("timestamp").alias("created_at"), "source", F.lit(None).cast("bigint").alias("source_chunk_id"))
+    new = store.append_remote(memory, rows)
+    return new.filter(F.col("chunk_id") >= store.next_id(memory)).select("chunk_id", "source", "source_chunk_id")
+
+
+def source_present(spark, sf_dir):
+    """Which of the pages' sources, and of one that no page has, a store without some of them holds."""
+    kept = _part_of_store(spark, sf_dir)
+    asked = sorted(r["source"] for r in _pages_with_text(spark, sf_dir).select("source").distinct().orderBy("source").limit(5).collect())  # five names
+    return spark.createDataFrame([(s, store.has_source(kept, s)) for s in [*asked, "no such source"]], "source string, present boolean")
+
+
+def store_roundtrip(spark, sf_dir):
+    """The store saved to files with a version and loaded again, by source; a folder without a store is an empty one."""
+    memory, path = table(spark, sf_dir, "memory_records"), new_folder(spark)
+    assert store.load_or_empty(spark, path).isEmpty()
+    store.save(memory, path)
+    again = store.load_or_empty(spark, path)
+    return again.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("text")).cast("bigint").alias("chars"), F.sum(F.when(F.col("vector").isNotNull(), F.size("vector"))).cast("bigint").alias("terms"), F.max(F.unix_micros("created_at")).alias("newest"))
+
+
+def model_roundtrip(spark, sf_dir):
+    """The model saved to files and loaded again."""
+    path = new_folder(spark)
+    _fitted(spark, sf_dir)[1].save(path)
+    again = model.Model.load(spark, path)
+    assert again.is_fitted()
+    return again.terms.select("term", "df", F.round("idf", 6).alias("idf"), F.lit(again.n_docs).alias("n_docs"))
+
+
+def token_validity(spark, sf_dir):
+    """Words of the questions between blanks, and whether they hold anything that can be a token."""
+    words = table(spark, sf_dir, "queries").select(F.explode(F.split("query", " ")).alias("word")).distinct()
+    return words.select("word", is_token(F.col("word")).alias("valid"))
+
+
+def token_bigrams(spark, sf_dir):
+    """How often every pair of neighbouring ideographs, and every ASCII word, stands in the records."""
+    rows = records(spark, sf_dir).select(F.explode(bigrams(F.col("text"))).alias("term"))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_segments(spark, sf_dir):
+    """The same with words of a list: the pairs of ideographs that stand in at least a hundredth of the records."""
+    rows = records(spark, sf_dir).select("chunk_id", "text")
+    pairs = rows.select(F.explode(F.array_distinct(bigrams(F.col("text")))).alias("term")).filter(F.col("term").rlike("^[一-鿿]{2}$")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    listed = [r["term"] for r in pairs.filter(F.col("n") * 100 >= rows.count()).orderBy("term").collect()]  # at most 100 times the pairs of a record
+    return rows.select(F.explode(segmenter(listed)(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def delete_by_source(spark, sf_dir):
@@ -212,9 +295,11 @@ def record_identities(spark, sf_dir):
 
 
 def update_one(spark, sf_dir):
-    memory = records(spark, sf_dir).withColumn("vector", F.create_map().cast("map<string,double>"))
+    """Records, changed ones among them and all vectors' entries after one record was given another text and vector."""
+    memory = records(spark, sf_dir, "vector")
     new, _ = store.update_record(memory, "field-handbook.pdf", 1, "changed", {"changed": 1.0}, _as_of())
-    return new.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("text") == "changed").alias("changed"))
+    entries = F.sum(F.when(F.col("vector").isNotNull(), F.size("vector"))).cast("bigint")
+    return new.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("text") == "changed").alias("changed"), F.count_if(F.map_contains_key("vector", F.lit("changed"))).alias("with_new_key"), entries.alias("entries"))
 
 
 def iso_instants(spark, sf_dir):
@@ -260,6 +345,26 @@ def ab_topone_new(spark, sf_dir):
     return out
 
 
+def ab_quality(spark, sf_dir):
+    """Recall, precision, MRR and first hits of the plain and the scored ranking, k = 5.
+
+    In scenario A all records are new and all questions with a truth count; in B every second record is 30 days old and questions
+    count whose truth has old and new records.
+    """
+    asked, docs = _vectors(spark, sf_dir)
+    hits = cut_lineage(search.similarities(asked, docs).filter("score >= 0.05"))
+    new = records(spark, sf_dir).select("chunk_id", "page_no", F.lit(AS_OF).cast("timestamp").alias("created_at"))
+    truth = cut_lineage(truth_sets(spark, sf_dir))
+    mixed = truth.join(evaluate.answerable(truth, _old(spark, sf_dir)), "qid", "left_semi")
+    out = None
+    for scenario, rows, right in (("A", new, truth), ("B", evaluate.aged(new, F.pmod("chunk_id", F.lit(2)) == 0, 30), mixed)):
+        for ranking, scored in (("plain", False), ("scored", True)):
+            found = search.memory_search(hits, rows, _as_of(), k=5, scored=scored)
+            one = evaluate.macro(evaluate.metrics(found, right)).select(F.lit(scenario).alias("scenario"), F.lit(ranking).alias("ranking"), "questions", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr", "top1")])
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def aged_records(spark, sf_dir):
     rows = evaluate.aged(records(spark, sf_dir), F.pmod("chunk_id", F.lit(2)) == 0, 30)
     return rows.select("chunk_id", F.unix_micros("created_at").alias("us"))
@@ -271,7 +376,7 @@ QUERIES = {
         normalize_lines, page_stats, chunk_windows, chunk_totals, token_counts, doc_freq, idf_table, vocab_index, tfidf_weights, vector_norms, tfidf_topk, tfidf_topk_zero_scores,
         pairwise_similarity, dense_topk, memory_search_default, memory_search_plain, memory_search_since_post, memory_search_since_pre, memory_search_custom_weights, recency_of_records,
         memory_score_components, decay_curve, half_lives, reinforce_counts, ingest_new_only, force_reload, delete_by_source, alloc_ids, record_identities, update_one, iso_instants, truth_sets,
-        ir_metrics, ir_macro, ab_topone_new, aged_records,
+        ir_metrics, ir_macro, ab_topone_new, ab_quality, aged_records, append_local, append_remote, source_present, store_roundtrip, model_roundtrip, token_validity, token_bigrams, token_segments,
     )
 }
 
@@ -340,14 +445,24 @@ SQL = {
     "decay_curve": "SELECT event_id, round(least(value / 500, 1.0) * exp(-(ln(2) / (7 * 86400.0)) * ((epoch_us(TIMESTAMP '2024-02-01') / 1e6) - epoch_us(ts) / 1e6)), 6) AS activation FROM events",
     "half_lives": "SELECT event_id, round(ln(2) / (value / 1000 + 0.001), 6) AS half_life, 6.931472::DOUBLE AS of_tenth FROM events",
     "reinforce_counts": "SELECT user_id, count(*) AS n, round(least(1.0, 0.1::DOUBLE * count(*)), 6) AS activation, round(least(1.0, least(1.0, 0.1::DOUBLE * count(*)) + 0.1), 6) AS reinforced FROM events GROUP BY user_id",
-    "ingest_new_only": f"SELECT source, count(*) AS chunk_count, CAST(sum(length(t)) AS BIGINT) AS total_chars FROM ({_chunked(512, 64, 'AND source NOT IN (SELECT source FROM memory_records WHERE source IS NOT NULL)')}) GROUP BY source",
-    "force_reload": f"""WITH n AS (SELECT source, row_number() OVER (ORDER BY source, chunk_seq) + (SELECT max(chunk_id) FROM memory_records) AS chunk_id, true AS fresh FROM ({_chunked(512, 64, 'AND source IS NOT NULL')})),
- k AS (SELECT source, chunk_id, coalesce(created_at = TIMESTAMP '{AS_OF}', false) AS fresh FROM memory_records WHERE source IS NULL OR source NOT IN (SELECT source FROM pages WHERE source IS NOT NULL))
-SELECT source, count(*) AS records, count(*) FILTER (fresh) AS fresh, min(chunk_id) AS least_id, max(chunk_id) AS greatest_id FROM (SELECT * FROM n UNION ALL SELECT * FROM k) GROUP BY source""",
+    "ingest_new_only": f"SELECT source, count(*) AS chunk_count, CAST(sum(length(t)) AS BIGINT) AS total_chars FROM ({_chunked(512, 64, 'AND source IS NOT NULL AND source NOT IN (SELECT source FROM memory_records WHERE length(source) % 2 = 1)')}) GROUP BY source",
+    "force_reload": f"""WITH {_C}, x AS ({_chunked(512, 64, 'AND source IS NOT NULL')}), y AS (SELECT DISTINCT source, chunk_seq, unnest({_LIST.format("t")}) AS term FROM x),
+ n AS (SELECT source, row_number() OVER (ORDER BY source, chunk_seq) + (SELECT max(chunk_id) FROM memory_records) AS chunk_id, true AS fresh, count(*) AS terms FROM y JOIN m USING (term) GROUP BY source, chunk_seq),
+ k AS (SELECT source, chunk_id, coalesce(created_at = TIMESTAMP '{AS_OF}', false) AS fresh, cardinality(vector) AS terms FROM memory_records WHERE source IS NULL OR source NOT IN (SELECT source FROM pages WHERE source IS NOT NULL))
+SELECT source, count(*) AS records, count(*) FILTER (fresh) AS fresh, min(chunk_id) AS least_id, max(chunk_id) AS greatest_id, CAST(coalesce(sum(terms) FILTER (fresh), 0) AS BIGINT) AS fresh_terms FROM (SELECT * FROM n UNION ALL SELECT * FROM k) GROUP BY source""",
+    "append_local": "SELECT row_number() OVER (ORDER BY source, page_no NULLS FIRST, md5(text)) + (SELECT max(chunk_id) FROM memory_records) AS chunk_id, source, page_no, CAST(NULL AS BIGINT) AS source_chunk_id, md5(text) AS hash FROM (SELECT DISTINCT source, page_no, text FROM pages WHERE length(text) > 0 AND source IS NOT NULL)",
+    "append_remote": "SELECT row_number() OVER (ORDER BY source, chunk_id) + (SELECT max(chunk_id) FROM memory_records) AS chunk_id, source, chunk_id AS source_chunk_id FROM (SELECT DISTINCT source, chunk_id FROM replica_b WHERE source IS NOT NULL AND chunk_id IS NOT NULL)",
+    "source_present": "WITH a AS (SELECT source FROM (SELECT DISTINCT source FROM pages WHERE source IS NOT NULL ORDER BY source LIMIT 5) UNION ALL SELECT 'no such source') SELECT source, source IN (SELECT source FROM memory_records WHERE length(source) % 2 = 1) AS present FROM a",
+    "store_roundtrip": "SELECT source, count(*) AS records, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(cardinality(vector)) AS BIGINT) AS terms, max(epoch_us(created_at)) AS newest FROM memory_records GROUP BY source",
+    "model_roundtrip": f"WITH {_C} SELECT term, df, round(idf, 6) AS idf, (SELECT count(*) FROM r) AS n_docs FROM m",
+    "token_validity": "SELECT DISTINCT word, regexp_matches(word, '[一-鿿A-Za-z0-9]') AS valid FROM (SELECT unnest(string_split(query, ' ')) AS word FROM queries)",
+    "token_bigrams": f"WITH {_R}, w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+|[一-鿿]+')) AS x FROM r), t AS (SELECT unnest(CASE WHEN regexp_matches(x, '^[一-鿿]') THEN list_transform(range(1, greatest(length(x), 2)), lambda i: substring(x, i, 2)) ELSE [lower(x)] END) AS term FROM w) SELECT term, count(*) AS n FROM t GROUP BY term",
     "delete_by_source": "SELECT count(*) FILTER (source IS DISTINCT FROM 'field-handbook.pdf') AS kept, count(DISTINCT source) FILTER (source IS DISTINCT FROM 'field-handbook.pdf') AS sources, count(*) FILTER (source = 'field-handbook.pdf') AS deleted FROM memory_records",
     "alloc_ids": f"SELECT source, chunk_seq, row_number() OVER (ORDER BY source, chunk_seq) + (SELECT max(chunk_id) FROM memory_records) AS chunk_id FROM ({_chunked(512, 64, 'AND source IS NOT NULL')})",
     "record_identities": f"WITH {_R} SELECT chunk_id, source, coalesce(source_chunk_id, chunk_id) AS ident_no FROM r",
-    "update_one": f"WITH {_R} SELECT count(*) AS records, count(*) FILTER (chunk_id = (SELECT min(chunk_id) FROM r WHERE source = 'field-handbook.pdf' AND coalesce(source_chunk_id, chunk_id) = 1) OR text = 'changed') AS changed FROM r",
+    "update_one": f"""WITH {_R}, hit AS (SELECT min(chunk_id) AS c FROM r WHERE source = 'field-handbook.pdf' AND coalesce(source_chunk_id, chunk_id) = 1),
+ u AS (SELECT chunk_id = c AS mine, text, vector FROM r CROSS JOIN hit)
+SELECT count(*) AS records, count(*) FILTER (mine OR text = 'changed') AS changed, count(*) FILTER (mine OR map_contains(vector, 'changed')) AS with_new_key, CAST(sum(CASE WHEN mine THEN 1 ELSE cardinality(vector) END) AS BIGINT) AS entries FROM u""",
     "iso_instants": f"SELECT DISTINCT created_at, {_US_A} AS us FROM replica_a",
     "truth_sets": f"WITH {_TRUTH} SELECT qid, chunk_id FROM t",
     "ir_metrics": f"WITH {_IR} SELECT qid, round(recall, 6) AS recall, round(precision, 6) AS precision, round(mrr, 6)::DOUBLE AS mrr, top1::DOUBLE AS top1 FROM ir",
@@ -356,5 +471,15 @@ SELECT source, count(*) AS records, count(*) FILTER (fresh) AS fresh, min(chunk_
  a AS (SELECT * FROM (SELECT *, {_TOP.format('score')} AS rk FROM h) WHERE rk <= 3), b AS (SELECT qid, doc_id, score AS plain, 0.5 * score + 0.35 * (CASE WHEN doc_id % 2 = 0 THEN exp(-(ln(2) / (30 * 86400.0)) * 30 * 86400.0) ELSE 1.0 END) + 0.05 AS scored FROM a WHERE qid IN (SELECT qid FROM good)),
  o AS (SELECT 'plain' AS ranking, * FROM (SELECT doc_id, {_TOP.format('plain')} AS rk FROM b) UNION ALL SELECT 'scored', * FROM (SELECT doc_id, {_TOP.format('scored')} AS rk FROM b))
 SELECT ranking, count(*) AS questions, count(*) FILTER (doc_id % 2 <> 0) AS new_top1 FROM o WHERE rk = 1 GROUP BY ranking""",
+    "ab_quality": f"""WITH {_W}, t AS (SELECT DISTINCT qid, chunk_id FROM queries JOIN r ON contains(r.text, keyword) WHERE length(keyword) > 0),
+ good AS (SELECT qid FROM t GROUP BY qid HAVING count(*) FILTER (chunk_id % 2 = 0) > 0 AND count(*) FILTER (chunk_id % 2 <> 0) > 0),
+ a AS (SELECT * FROM (SELECT *, {_TOP.format('score')} AS rk FROM h) WHERE rk <= 15), v AS (SELECT qid, doc_id, score AS s0, 0.5 * score + 0.35 + 0.05 AS s1, 0.5 * score + 0.35 * (CASE WHEN doc_id % 2 = 0 THEN exp(-(ln(2) / (30 * 86400.0)) * 30 * 86400.0) ELSE 1.0 END) + 0.05 AS s2 FROM a),
+ x AS (SELECT 'A' AS scenario, 'plain' AS ranking, qid, doc_id, s0 AS s FROM v UNION ALL SELECT 'A', 'scored', qid, doc_id, s1 FROM v UNION ALL SELECT 'B', 'plain', qid, doc_id, s0 FROM v UNION ALL SELECT 'B', 'scored', qid, doc_id, s2 FROM v),
+ y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, ranking, qid ORDER BY round(s, 9) DESC, doc_id) AS rk FROM x) WHERE rk <= 5),
+ z AS (SELECT y.*, t.chunk_id IS NOT NULL AS hit FROM y LEFT JOIN t ON t.qid = y.qid AND t.chunk_id = y.doc_id),
+ b AS (SELECT scenario, ranking, qid, count(*) AS returned, count(*) FILTER (hit) AS found, min(rk) FILTER (hit) AS first FROM z GROUP BY ALL),
+ asked AS (SELECT scenario, ranking, qid, n FROM (SELECT qid, count(*) AS n FROM t GROUP BY qid) CROSS JOIN (SELECT unnest(['A', 'B']) AS scenario) CROSS JOIN (SELECT unnest(['plain', 'scored']) AS ranking) WHERE scenario = 'A' OR qid IN (SELECT qid FROM good)),
+ m2 AS (SELECT scenario, ranking, coalesce(found / n, 0) AS recall, coalesce(found / returned, 0) AS precision, coalesce(1.0 / first, 0) AS mrr, CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END AS top1 FROM asked LEFT JOIN b USING (scenario, ranking, qid))
+SELECT scenario, ranking, count(*) AS questions, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(top1), 6) AS top1 FROM m2 GROUP BY scenario, ranking""",
     "aged_records": f"WITH {_R} SELECT chunk_id, epoch_us(created_at) - CASE WHEN chunk_id % 2 = 0 THEN 30 * 86400000000 ELSE 0 END AS us FROM r",
 }

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import frames as wire
+from quern.functions.score import DAY_S, rate_of
 from quern.functions.timestamps import instant
 from quern.operators import dag, graph, replica, sched
-from quern.session import cut_lineage, table
+from quern.session import cut_lineage, new_folder, table
+from quern.streaming import sessions
 from quern.streaming.frames import decode_batch
+from quern.streaming.memory import activation_stream, distinct_stream, read_target, upsert_stream
 
 
 def _replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -96,6 +99,25 @@ def dag_problems(spark, sf_dir):
     return dag.problems(nodes, wrong)
 
 
+def dag_ready(spark, sf_dir):
+    nodes, edges = _tasks(spark, sf_dir)
+    return dag.ready(nodes, edges)
+
+
+def _pending(spark, sf_dir) -> DataFrame:
+    """The graph's nodes with every third not yet run."""
+    nodes, _ = _tasks(spark, sf_dir)
+    return nodes.withColumn("outcome", F.when(F.col("id") % 3 == 0, "Pending").otherwise(F.col("outcome")))
+
+
+def dag_cancel(spark, sf_dir):
+    return dag.cancel(_pending(spark, sf_dir))
+
+
+def dag_summary(spark, sf_dir):
+    return dag.summary(_pending(spark, sf_dir)).select("*", F.lit("before").alias("moment")).unionByName(dag.summary(_pending(spark, sf_dir).drop("outcome").join(dag.cancel(_pending(spark, sf_dir)), "id")).select("*", F.lit("after").alias("moment")))
+
+
 def _settled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     nodes, edges = _tasks(spark, sf_dir)
     edges = cut_lineage(edges)
@@ -160,11 +182,97 @@ def round_robin(spark, sf_dir):
     return _queue(spark, sf_dir).select("queue_id", "task_id", sched.round_robin(F.col("seq"), 4).alias("worker"))
 
 
-def session_protocol(spark, sf_dir):
-    """Purchases that don't follow a click of the same user at once: messages in a state where another type was expected."""
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").withColumn("previous", before)
-    return rows.filter((F.col("event_type") == "purchase") & ~F.col("previous").eqNullSafe(F.lit("click"))).select("event_id", "user_id", "previous")
+def fifo_order(spark, sf_dir):
+    """Tasks of equal priority leave a queue in the order they came."""
+    return sched.pop_order(_queue(spark, sf_dir), F.lit(1)).select("queue_id", "task_id", "place")
+
+
+def worker_steals(spark, sf_dir):
+    """Events as tasks given to a worker by their order and run by the one of their user."""
+    log = _queue(spark, sf_dir).select(F.pmod("queue_id", F.lit(4)).alias("worker"), F.pmod("seq", F.lit(4)).alias("home"))
+    return sched.steals(log)
+
+
+#: A visit: views, then clicks, then a purchase, which ends it or begins another; anything else breaks it.
+VISIT = {("start", "view"): "looking", ("looking", "view"): "looking", ("start", "click"): "choosing", ("looking", "click"): "choosing", ("choosing", "click"): "choosing", ("choosing", "view"): "looking", ("choosing", "purchase"): "start"}
+
+
+def session_states(spark, sf_dir):
+    """Every event of a user as a message of one session."""
+    rows = _queue(spark, sf_dir).select(F.col("queue_id").alias("conn_id"), F.col("seq").alias("msg_no"), F.col("event_type").alias("type"))
+    return sessions.session_states(rows, VISIT)
+
+
+def exchange_states(spark, sf_dir):
+    """Logged hits as the messages of one exchange for each query: identities both ways, records, the end of the batch and its confirmation, and on."""
+    rows = table(spark, sf_dir, "retrieval_hits").select("qid", "rank", "chunk_id").distinct()
+    first = F.struct(F.lit(1).alias("step"), F.to_json(F.struct(F.lit(sessions.IDS).alias("type"))).alias("payload"))
+    both = rows.select("qid").distinct().select("qid", F.inline(F.array(first, F.struct(F.lit(2).alias("step"), first["payload"].alias("payload")))))
+    sent = rows.select("qid", F.lit(3).alias("step"), F.to_json(F.struct(F.lit(sessions.RECORDS).alias("type"), "rank", "chunk_id")).alias("payload"))
+    # queries with an odd number leave out the end of the batch, so their confirmation comes too early
+    done = rows.select("qid").distinct().filter("qid % 2 = 0").select("qid", F.lit(4).alias("step"), F.to_json(F.struct(F.lit(sessions.RECORDS).alias("type"), F.lit(True).alias("done"))).alias("payload"))
+    ack = rows.select("qid").distinct().select("qid", F.lit(5).alias("step"), F.to_json(F.struct(F.lit(sessions.ACK_STATS).alias("type"))).alias("payload"))
+    every = both.unionByName(sent).unionByName(done).unionByName(ack)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("step", "payload")).cast("bigint")
+    messages = every.select(F.col("qid").alias("conn_id"), place.alias("msg_no"), sessions.message_type(F.col("payload")).alias("type"))
+    return sessions.session_states(messages, sessions.EXCHANGE).groupBy("conn_id").agg(F.count(F.lit(1)).alias("messages"), F.count_if(~F.col("allowed")).alias("refused"), F.max_by("after", "msg_no").alias("state"))
+
+
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of its file or files."""
+    schema = table(spark, sf_dir, "events").schema
+    folder = f"{sf_dir}/events.parquet"
+    path, files = spark._jvm.org.apache.hadoop.fs.Path(folder), None
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All rows that a stream gives for what is there."""
+    out = new_folder(spark)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def activation_after_events(spark, sf_dir):
+    """A stream of accesses: the activation of each user after every event, with a half-life of a day."""
+    accesses = _events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("memory_id"), F.unix_micros("ts").alias("at_us"))
+    found = _drained(spark, activation_stream(accesses, rate_of(DAY_S)))
+    return found.groupBy("memory_id").agg(F.count(F.lit(1)).alias("accesses"), F.round(F.max_by("activation", F.struct("at_us", "activation")), 6).alias("activation"))
+
+
+def redelivered_events(spark, sf_dir):
+    """A stream in which every event comes twice: each counts once."""
+    events = _events_stream(spark, sf_dir)
+    twice = events.select("event_id", "user_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
+    found = _drained(spark, distinct_stream(twice, "ts", ["event_id"]).select("event_id", "user_id"))
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+def upserted_events(spark, sf_dir):
+    """A stream of events as versions of one record for each user and kind: the newest stands."""
+    events = _events_stream(spark, sf_dir)
+    rows = events.select(F.col("event_type").alias("source"), F.col("user_id").cast("bigint").alias("ident_no"), F.lit(1).alias("page_no"), F.col("event_id").cast("string").alias("text"), F.unix_micros("ts").alias("us"))
+    root = new_folder(spark)
+    upsert_stream(rows, root, new_folder(spark)).awaitTermination()
+    return read_target(spark, root)
+
+
+def frame_buffered(spark, sf_dir):
+    """How many bytes wait after each message when frames come in pieces of 100 bytes, for one connection a question."""
+    rows = table(spark, sf_dir, "queries").filter("query is not null").select("qid", "query").distinct()
+    framed = rows.select(F.col("qid").cast("string").alias("conn_id"), wire.encode(F.col("query")).alias("f")).withColumn("frame", F.concat("f", "f", "f"))
+    starts = F.transform(F.sequence(F.lit(0), ((F.octet_length("frame") - 1) / 100).cast("int")), lambda i: F.struct(i.cast("bigint").alias("seq"), F.substring("frame", i * 100 + 1, F.lit(100)).alias("bytes")))
+    got = decode_batch(framed.select("conn_id", F.inline(starts)))
+    return got.select(F.col("conn_id").cast("int").alias("qid"), "msg_no", "buffered", F.md5("payload").alias("hash"))
+
+
+def frame_lengths(spark, sf_dir):
+    """The length that each frame's head declares beside the payload's own."""
+    rows = table(spark, sf_dir, "queries").filter("query is not null").select("qid", "query").distinct()
+    return rows.select("qid", wire.declared_length(wire.encode(F.col("query"))).alias("declared"), F.octet_length("query").cast("bigint").alias("own"))
 
 
 def json_props(spark, sf_dir):
@@ -189,7 +297,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         sync_missing, sync_ids_only, sync_stats, sync_merged, sync_second_pass, graph_counts, graph_degree, graph_neighbors, graph_khop2, graph_relevance, dag_levels, dag_status, dag_problems,
-        dag_timings, dag_critical_path, priority_order, aging_once, queue_backlog_peak, admission_bounded, aging_pops, worker_telemetry, round_robin, session_protocol, json_props, frame_roundtrip,
+        dag_timings, dag_critical_path, dag_ready, dag_cancel, dag_summary, priority_order, fifo_order, aging_once, queue_backlog_peak, admission_bounded, aging_pops, worker_telemetry, worker_steals, round_robin, session_states,
+        exchange_states, activation_after_events, redelivered_events, upserted_events, json_props, frame_roundtrip, frame_buffered, frame_lengths,
     )
 }
 
@@ -245,7 +354,35 @@ SELECT queue_id, seq, accepted FROM r WHERE delta > 0""",
  s AS (SELECT worker, count(*) FILTER (o = 'Done') AS done, count(*) FILTER (o = 'Failed') AS failed, count(*) FILTER (o = 'Skipped') AS skipped, 0::BIGINT AS rejected, CAST(coalesce(sum(us) FILTER (o = 'Done'), 0) AS BIGINT) AS total_us FROM l GROUP BY worker)
 SELECT *, round(coalesce(total_us / nullif(done, 0) / 1000.0, 0), 6) AS avg_task_ms FROM s""",
     "round_robin": f"WITH {_Q} SELECT queue_id, task_id, seq % 4 AS worker FROM q",
-    "session_protocol": "WITH l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) SELECT event_id, user_id, previous FROM l WHERE event_type = 'purchase' AND previous IS DISTINCT FROM 'click'",
+    "dag_ready": f"WITH {_T} SELECT id FROM n WHERE id NOT IN (SELECT dst FROM g)",
+    "dag_cancel": f"WITH {_T} SELECT id, CASE WHEN id % 3 = 0 THEN 'Skipped' ELSE outcome END AS outcome FROM n",
+    "dag_summary": f"""WITH {_T}, o AS (SELECT 'before' AS moment, CASE WHEN id % 3 = 0 THEN 'Pending' ELSE outcome END AS o FROM n UNION ALL SELECT 'after', CASE WHEN id % 3 = 0 THEN 'Skipped' ELSE outcome END FROM n)
+SELECT moment, count(*) AS node_count, count(*) FILTER (o = 'Done') AS done, count(*) FILTER (o = 'Failed') AS failed, count(*) FILTER (o = 'Skipped') AS skipped, count(*) FILTER (o = 'Pending') AS pending, count(*) FILTER (o = 'Pending') = 0 AS finished FROM o GROUP BY moment""",
+    "fifo_order": f"WITH {_Q} SELECT queue_id, task_id, seq AS place FROM q",
+    "worker_steals": f"""WITH {_Q}, l AS (SELECT queue_id % 4 AS worker, seq % 4 AS home FROM q), e AS (SELECT worker, count(*) AS executed, count(*) FILTER (home <> worker) AS stolen FROM l GROUP BY worker), o AS (SELECT home AS worker, count(*) AS lost FROM l WHERE home <> worker GROUP BY home)
+SELECT coalesce(e.worker, o.worker) AS worker, coalesce(executed, 0) AS executed, coalesce(stolen, 0) AS stolen, coalesce(lost, 0) AS lost FROM e FULL JOIN o ON e.worker = o.worker""",
+    "session_states": f"""WITH RECURSIVE {_Q}, d AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{t}', '{b}')" for (a, t), b in VISIT.items())}) v(before, kind, after)),
+ s AS (SELECT queue_id, seq, event_type, 'start' AS before, coalesce((SELECT after FROM d WHERE d.before = 'start' AND kind = event_type), 'broken') AS after FROM q WHERE seq = 1
+  UNION ALL SELECT q.queue_id, q.seq, q.event_type, s.after, coalesce(d.after, 'broken') FROM s JOIN q ON q.queue_id = s.queue_id AND q.seq = s.seq + 1 LEFT JOIN d ON d.before = s.after AND d.kind = q.event_type)
+SELECT queue_id AS conn_id, seq AS msg_no, event_type AS type, before, after, after <> 'broken' AS allowed FROM s""",
+    "exchange_states": "SELECT qid AS conn_id, count(*) + CASE WHEN qid % 2 = 0 THEN 4 ELSE 3 END AS messages, CASE WHEN qid % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS refused, CASE WHEN qid % 2 = 0 THEN 'receiving' ELSE 'broken' END AS state FROM (SELECT DISTINCT qid, rank, chunk_id FROM retrieval_hits) GROUP BY qid",
+    "activation_after_events": f"""WITH RECURSIVE {_Q}, c AS (SELECT queue_id, count(*) AS n FROM q GROUP BY queue_id), o AS (SELECT queue_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY queue_id ORDER BY ts) AS i FROM q),
+ a AS (SELECT queue_id, i, us, 0.1::DOUBLE AS v FROM o WHERE i = 1 UNION ALL SELECT o.queue_id, o.i, o.us, least(1.0, a.v * exp(-(ln(2) / 86400.0) * greatest(o.us - a.us, 0) / 1e6) + 0.1) FROM a JOIN o ON o.queue_id = a.queue_id AND o.i = a.i + 1)
+SELECT CAST(a.queue_id AS VARCHAR) AS memory_id, n AS accesses, round(v, 6) AS activation FROM a JOIN c ON c.queue_id = a.queue_id AND c.n = a.i""",
+    "redelivered_events": "SELECT user_id, count(DISTINCT event_id) AS events FROM events GROUP BY user_id",
+    "upserted_events": "SELECT DISTINCT ON (event_type, user_id) event_type AS source, CAST(user_id AS BIGINT) AS ident_no, 1 AS page_no, CAST(event_id AS VARCHAR) AS text, epoch_us(ts) AS us FROM events ORDER BY event_type, user_id, ts DESC, CAST(event_id AS VARCHAR) DESC",
+    "frame_buffered": """WITH r AS (SELECT DISTINCT qid, query, strlen(query) + 4 AS n FROM queries WHERE query IS NOT NULL), m AS (SELECT *, unnest([1, 2, 3]) AS k FROM r)
+SELECT qid, CAST(k AS BIGINT) AS msg_no, CAST(least(CAST(ceil(k * n / 100.0) AS BIGINT) * 100, 3 * n) - (least(CAST(ceil(k * n / 100.0) AS BIGINT) * 100, 3 * n) // n) * n AS INTEGER) AS buffered, md5(query) AS hash FROM m""",
+    "frame_lengths": "SELECT DISTINCT qid, CAST(strlen(query) AS BIGINT) AS declared, CAST(strlen(query) AS BIGINT) AS own FROM queries WHERE query IS NOT NULL",
+    "aging_pops": f"""WITH RECURSIVE {_Q}, e AS (SELECT queue_id, seq, epoch_us(ts) // 1000 AS ms, CASE WHEN delta > 0 THEN CAST(task_id AS VARCHAR) END AS task, priority AS p FROM q),
+ r AS (SELECT DISTINCT queue_id, 0::BIGINT AS seq, CAST([] AS STRUCT(o BIGINT, s BIGINT, k VARCHAR, p BIGINT, g BIGINT, t BIGINT)[]) AS w, 0::BIGINT AS n, CAST(NULL AS VARCHAR) AS took FROM e
+  UNION ALL
+  SELECT queue_id, seq, CASE WHEN task IS NOT NULL THEN list_append(w, {{'o': -p, 's': seq, 'k': task, 'p': p, 'g': 0, 't': ms}}) ELSE list_filter(aged, lambda x: x.s <> best.s) END,
+   n + CASE WHEN task IS NULL AND best IS NOT NULL THEN 1 ELSE 0 END, CASE WHEN task IS NULL THEN best.k END
+  FROM (SELECT *, list_aggregate(aged, 'min') AS best FROM (SELECT e.queue_id, e.seq, e.ms, e.task, e.p, r.w, r.n,
+   list_transform(r.w, lambda x: CASE WHEN (e.ms - x.t) // 86400000 >= 1 THEN {{'o': -(x.p + least(3, x.g + (e.ms - x.t) // 86400000)), 's': x.s, 'k': x.k, 'p': x.p, 'g': least(3, x.g + (e.ms - x.t) // 86400000), 't': e.ms}} ELSE x END) AS aged
+   FROM r JOIN e ON e.queue_id = r.queue_id AND e.seq = r.seq + 1)))
+SELECT queue_id, n AS pop_no, took AS task_id FROM r WHERE took IS NOT NULL""",
     "json_props": "WITH p AS (SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS k_sum, max(k) AS k_max FROM p GROUP BY event_type",
     "frame_roundtrip": "WITH r AS (SELECT DISTINCT qid, rank, chunk_id, text FROM retrieval_hits) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, chunk_id, text NULLS FIRST) AS msg_no, rank, chunk_id, md5(text) AS hash FROM r",
 }

@@ -3,28 +3,105 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.score import DAY_S, Weights
-from quern.functions.text import check_window
+from quern.functions.text import check_window, tokens
 from quern.operators import model as tfidf
 from quern.operators import search, store
 from quern.session import cut_lineage, move_pointer, read_pointer
 
 
+class Backend(Protocol):
+    """What turns texts into vectors. A fitted model is anything that the same backend saved, loaded and can encode with."""
+
+    def fit(self, texts: DataFrame) -> object:
+        """A model of texts (key, text)."""
+
+    def save(self, model: object, path: str) -> None: ...
+
+    def load(self, spark: SparkSession, path: str) -> object: ...
+
+    def encode(self, rows: DataFrame, model: object) -> DataFrame:
+        """rows (key, text, ...) without key and with the vector of each, empty or null where there is none."""
+
+    def asked(self, queries: DataFrame, model: object) -> DataFrame:
+        """(qid, term, weight) of queries (qid, query)."""
+
+
+class TfidfBackend:
+    """Share of a text's tokens times idf; `tokenizer` may be a segmenter."""
+
+    def __init__(self, tokenizer: Callable[[Column], Column] = tokens):
+        self.tokenizer = tokenizer
+
+    @staticmethod
+    def vectors(rows: DataFrame, model: tfidf.Model, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+        long = tfidf.weights(tfidf.token_counts(rows.select("key", "text"), "key", tokenizer=tokenizer), model)
+        vectors = long.groupBy(F.col("doc_id").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("vector"))
+        return rows.join(vectors, "key", "left").drop("key")
+
+    def fit(self, texts: DataFrame) -> tfidf.Model:
+        return tfidf.fit(texts, "key", model_id=uuid.uuid4().hex, tokenizer=self.tokenizer)
+
+    def save(self, model: tfidf.Model, path: str) -> None:
+        model.save(path)
+
+    def load(self, spark: SparkSession, path: str) -> tfidf.Model:
+        return tfidf.Model.load(spark, path)
+
+    def encode(self, rows: DataFrame, model: tfidf.Model) -> DataFrame:
+        return self.vectors(rows, model, self.tokenizer)
+
+    def asked(self, queries: DataFrame, model: tfidf.Model) -> DataFrame:
+        return tfidf.weights(tfidf.token_counts(queries, "qid", "query", self.tokenizer), model).withColumnRenamed("doc_id", "qid")
+
+
+class DenseBackend:
+    """Vectors of a function from texts to lists of numbers, called with batches of texts; nothing is fitted. Dimensions become terms."""
+
+    def __init__(self, function: Callable[[list[str]], list[list[float]]]):
+        @F.pandas_udf("map<string,double>")
+        def run(texts: pd.Series) -> pd.Series:
+            given = texts.fillna("")
+            vectors = iter(function([t for t in given if t]))
+            return pd.Series([{str(i): float(x) for i, x in enumerate(next(vectors))} if t else {} for t in given], dtype=object)
+
+        self.run = run
+
+    def fit(self, texts: DataFrame) -> None:
+        return None
+
+    def save(self, model: None, path: str) -> None:
+        return None
+
+    def load(self, spark: SparkSession, path: str) -> None:
+        return None
+
+    def encode(self, rows: DataFrame, model: None) -> DataFrame:
+        return rows.withColumn("vector", self.run("text")).drop("key")
+
+    def asked(self, queries: DataFrame, model: None) -> DataFrame:
+        return queries.select("qid", F.explode(self.run("query")).alias("term", "weight"))
+
+
 class Memory:
     """Records and model under `root`. Each ingest writes a new version of the records and then moves the pointer to it.
 
-    The model is fitted on the first chunks and then frozen, so that all stored vectors stay comparable; `refit` makes a new one
-    and encodes all records again.
+    The backend's model is fitted on the first chunks and then frozen, so that all stored vectors stay comparable; `refit` makes a new
+    one and encodes all records again.
     """
 
-    def __init__(self, spark: SparkSession, root: str, size: int = 512, overlap: int = 64, half_life_days: float = 30):
+    def __init__(self, spark: SparkSession, root: str, size: int = 512, overlap: int = 64, half_life_days: float = 30, backend: Backend | None = None):
         check_window(size, overlap)
         self.spark, self.root, self.size, self.overlap, self.half_life_s = spark, root, size, overlap, half_life_days * DAY_S
+        self.backend = backend or TfidfBackend()
 
     def records(self) -> DataFrame:
         version = read_pointer(self.spark, f"{self.root}/CURRENT")
@@ -32,30 +109,23 @@ class Memory:
             raise FileNotFoundError(f"no records in {self.root}")
         return store.load(self.spark, f"{self.root}/{version}")
 
-    def model(self) -> tfidf.Model:
+    def model(self) -> object:
         version = read_pointer(self.spark, f"{self.root}/MODEL")
         if version is None:
             raise FileNotFoundError(f"no model in {self.root}")
-        return tfidf.Model.load(self.spark, f"{self.root}/{version}")
+        return self.backend.load(self.spark, f"{self.root}/{version}")
 
     def _write(self, records: DataFrame) -> None:
         version = uuid.uuid4().hex
         store.save(records, f"{self.root}/{version}")
         move_pointer(self.spark, f"{self.root}/CURRENT", version)
 
-    def _fitted(self, texts: DataFrame) -> tfidf.Model:
+    def _fitted(self, texts: DataFrame) -> object:
         version = uuid.uuid4().hex
-        tfidf.fit(texts, "key", model_id=version).save(f"{self.root}/{version}")
+        self.backend.save(self.backend.fit(texts), f"{self.root}/{version}")
         move_pointer(self.spark, f"{self.root}/MODEL", version)
         return self.model()
 
-    @staticmethod
-    def _encoded(rows: DataFrame, model: tfidf.Model) -> DataFrame:
-        """rows (key, text, ...) with the vector of each; an empty one where no term is known."""
-        long = tfidf.weights(tfidf.token_counts(rows.select("key", "text"), "key"), model)
-        vectors = long.groupBy(F.col("doc_id").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("vector"))
-        return rows.join(vectors, "key", "left").drop("key")
-
     def ingest(self, pages: DataFrame, force: bool = False, created_at: datetime | None = None) -> DataFrame:
         """(source, pages, chunks_added, skipped) for each source of pages (source, page_no, text).
 
@@ -76,7 +146,7 @@ class Memory:
                 model = self.model()
             except FileNotFoundError:
                 model = self._fitted(keyed)
-            return self._encoded(keyed, model)
+            return self.backend.encode(keyed, model)
 
         seen = pages.groupBy("source").agg(F.count(F.lit(1)).alias("pages")).join(known, "source", "left")
         added = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("added"))
@@ -90,14 +160,14 @@ class Memory:
         """A new model, fitted on all records, and their vectors by it."""
         old = self.records()
         keyed = cut_lineage(old.drop("vector").withColumn("key", F.col("chunk_id")))
-        self._write(self._encoded(keyed, self._fitted(keyed)).select(*old.columns))
+        self._write(self.backend.encode(keyed, self._fitted(keyed)).select(*old.columns))
 
     def search(self, queries: DataFrame, k: int = 5, min_score: float = 0.05, scored: bool = True, weights: Weights | None = None, since: datetime | None = None, since_mode: str = "post", as_of: datetime | None = None) -> DataFrame:
         """Hits (qid, chunk_id, page_no, score, raw_score, recency, parts, rank, text) of queries (qid, query)."""
         if k < 1:
             raise ValueError("k must be at least 1")
         records, model = self.records(), self.model()
-        asked = tfidf.weights(tfidf.token_counts(queries, "qid", "query"), model).withColumnRenamed("doc_id", "qid")
+        asked = self.backend.asked(queries, model)
         moment: Column = F.lit((as_of or datetime.now(UTC)).astimezone(UTC).isoformat()).cast("timestamp")
         limit = F.lit(since.astimezone(UTC).isoformat()).cast("timestamp") if since else None
         docs = tfidf.long_form(records)

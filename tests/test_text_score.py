@@ -90,7 +90,7 @@ def test_reinforce_and_score(spark):
         assert round(total({"semantic": 0.62, "recency": r, "activation": r, "importance": 0.5}), 3) == expect
     for w in ((-1, 1, 1, 1, 1), (0, 0, 0, 0, 0)):
         with pytest.raises(ValueError):
-            score.Weights(*w)
+            total({"semantic": 0.5}, score.Weights(*w))
     with pytest.raises(Exception, match="out of range"):
         total({"semantic": 1.5})
 
