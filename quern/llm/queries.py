@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,23 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_text_scores, p3_vector_scores, p4_found, p4_neighbours, p5_found, p5_pieces, p6_ids, p7_found, p7_passages, p7_leaks, p8_found, p8_restored)}
 
+#: Blocks whose characters have compatibility forms that strip_accents leaves, for the words of p7 (fixed values).
+_COMPATIBLE = ((0xA0, 0x300), (0x2030, 0x2060), (0x2070, 0x20A0), (0x2100, 0x2190), (0x2460, 0x2500), (0x3000, 0x3001), (0xFB00, 0xFB07), (0xFF00, 0xFFF0), (0x1D400, 0x1D800))
+
+
+def _words(column: str) -> str:
+    """SQL of the words of a text as p7 defines them: compatibility forms by hand, accents by strip_accents, each ideograph a word."""
+    forms = {chr(c): unicodedata.normalize("NFKD", chr(c)) for low, high in _COMPATIBLE for c in range(low, high)}
+    forms = {c: f for c, f in forms.items() if f != unicodedata.normalize("NFD", c)}
+    one = {c: f for c, f in forms.items() if len(f) == 1 and f != "'"}
+    sql = f"translate({column}, '{''.join(one)}', '{''.join(one.values())}')"
+    for c, f in forms.items():
+        if len(f) > 1:
+            sql = f"replace({sql}, '{c}', '{f}')"
+    plain = f"lower(regexp_replace(strip_accents({sql}), '[\\p{{Mn}}\\p{{Cf}}]', '', 'g'))"
+    return f"regexp_extract_all(regexp_replace({plain}, '([㐀-鿿])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+
+
 _RECORDS = "(SELECT DISTINCT ON (chunk_id) chunk_id, text, map_entries(vector) AS entries FROM memory_records WHERE chunk_id IS NOT NULL)"
 _TERMS = """
 WITH r AS {records},
@@ -120,6 +139,16 @@ SQL = {
     "p3_vector_scores": f"""WITH r AS {_RECORDS}, t AS (SELECT chunk_id, unnest(entries) AS e FROM r), d AS (SELECT e.key AS term, count(*) AS df FROM t GROUP BY ALL),
  n AS (SELECT count(entries) AS n FROM r)
 SELECT chunk_id, term, CAST(df AS BIGINT) AS df, round(e.value * ln((n + 1) / df), 6) AS score FROM t JOIN d ON d.term = t.e.key CROSS JOIN n WHERE e.value IS NOT NULL""",
+    "p4_found": f"""WITH r AS {_RECORDS}, e AS (SELECT chunk_id, unnest(entries) AS e FROM r), w AS (SELECT chunk_id, e.key AS term, e.value AS x FROM e WHERE isfinite(e.value) AND e.value <> 0),
+ n AS (SELECT chunk_id, sqrt(sum(x * x)) AS size FROM w GROUP BY chunk_id), u AS (SELECT chunk_id, term, x / size AS x FROM w JOIN n USING (chunk_id)),
+ p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, sum(a.x * b.x) AS score FROM u a JOIN u b USING (term) WHERE a.chunk_id <> b.chunk_id GROUP BY ALL),
+ k AS (SELECT a, b, score, rank() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, b) AS rk FROM p)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM k WHERE rk <= 10 AND score >= 0.9""",
+    "p7_found": f"""WITH d AS (SELECT DISTINCT doc_id, {_words("text")} AS ws FROM documents WHERE text IS NOT NULL), b AS (SELECT DISTINCT item_id, {_words("text")} AS ws FROM benchmark WHERE text IS NOT NULL),
+ n AS (SELECT item_id, ws, least(12, len(ws)) AS n FROM b WHERE len(ws) > 0),
+ i AS (SELECT DISTINCT item_id, n, array_to_string(ws[at_word:at_word + n - 1], ' ') AS seed FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS at_word FROM n)),
+ x AS (SELECT DISTINCT doc_id, n, array_to_string(ws[at_word:at_word + n - 1], ' ') AS seed FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS at_word FROM d CROSS JOIN (SELECT DISTINCT n FROM i) WHERE len(ws) >= n))
+SELECT DISTINCT doc_id, item_id FROM x JOIN i USING (n, seed)""",
     "p5_found": """
 WITH i AS (SELECT 'page' AS item, source, CAST(page_no AS BIGINT) AS item_no, text FROM pages UNION ALL SELECT 'chunk', source, chunk_id, text FROM chunks),
  h AS (SELECT item, source, item_no, regexp_matches(text, '[^ \\t\\n\\r\\x{00A0}\\x{2028}\\x{3000}.,;:!?。，、；：！？]{801}') AS hard FROM i WHERE length(text) > 800)
