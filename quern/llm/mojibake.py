@@ -32,12 +32,15 @@ _CJK = "⺀-鿿豈-﫿＀-￯"
 WORD_TOKEN = r"(?<![A-Za-z])[A-Za-z]*[^\x00-\x7F][A-Za-z\x80-\U0010FFFF]*"
 CLUSTER_TOKEN = r"[^\x00-\x7F]+"
 PART_TOKEN = f"(?<=[{_CJK}])[^\\x00-\\x7F{_CJK}]+|[^\\x00-\\x7F{_CJK}]+(?=[{_CJK}])"
-#: A lone character between blanks, and one before a capitalised word: kept apart by a mark in front.
+#: A lone character between blanks, one before a capitalised word, and one at the end of a word: kept apart by a mark in front.
 LONE_TOKEN, OPENING_TOKEN = r"(?<![^\s])[^\x00-\x7F](?![^\s])", r"(?<![^\s(\[])[^\x00-\x7F](?=[A-Z][a-z])"
-LONE, OPENING = "\x01", "\x02"
+CLOSING_TOKEN = r"(?<=[A-Za-z.,!?])[^\x00-\x7F](?![^\s)\]])"
+LONE, OPENING, CLOSING = "\x01", "\x02", "\x04"
+MARKS = (LONE, OPENING, CLOSING)
+#: All characters beyond ASCII of a text in which a character with such a mark stands, sorted, after this.
+PROFILE = "\x03"
 #: Punctuation that single-byte encodings confuse with letters, and characters that every vocabulary knows (fixed values).
 CONFUSED = "–—•…“”‘’«»"
-NEVER_ALONE = "òìùûïîëñöô╗´"
 ALWAYS_KNOWN = "–—•…“”‘’‚„†‡‰‹›€™−≤≥≠≈→←" + "".join(map(chr, [*range(0xA1, 0xAD), *range(0xAE, 0x180)]))
 #: Signs that stand between letters or before a word as meant, and other signs of single-byte encodings that do neither (fixed values).
 JOINING = CONFUSED + "·‚„‹›\xad‐‑―"
@@ -86,12 +89,12 @@ def garble(text: str, chain: str) -> str | None:
 def garbled_forms(word: str) -> dict[str, str]:
     """Every form that differs from the word, with the first chain that gives it, such as 'utf_8>cp1252'."""
     forms: dict[str, str] = {}
-    mark = word[0] if word[0] in (LONE, OPENING) else ""
+    mark = word[0] if word[0] in MARKS else ""
     if mark:
         if word[1] in CONFUSED and (data := _write(word[1], "cp1252")):
             for read in READ_SINGLE[1:]:
                 form = _read(data, read)
-                if unicodedata.category(form) in ("Lu", "Ll") or form in NEVER_ALONE:
+                if form != word[1] and not unicodedata.category(form).startswith("C"):
                     forms.setdefault(mark + form, f"cp1252>{read}")
         return forms
 
@@ -127,6 +130,26 @@ def garbled_forms(word: str) -> dict[str, str]:
     return forms
 
 
+def _confusions() -> dict[str, dict[str, str]]:
+    """For every reading that makes letters of them: what CONFUSED punctuation becomes, and what it was."""
+    out = {}
+    for read in READ_SINGLE[1:]:
+        forms = {_read(_write(c, "cp1252"), read): c for c in CONFUSED}
+        if any(unicodedata.category(f) in ("Lu", "Ll") for f in forms):
+            out[read] = {f: c for f, c in forms.items() if f != c and not unicodedata.category(f).startswith("C")}
+    return out
+
+
+CONFUSIONS = _confusions()
+
+
+def explaining(profile: str) -> list[str]:
+    """The readings that make punctuation of every character beyond ASCII of a text: of a letter at least, or of two different characters."""
+    chars = set(profile[1:])
+    enough = len(chars) > 1 or any(unicodedata.category(c) in ("Lu", "Ll") for c in chars)
+    return [read for read, forms in CONFUSIONS.items() if enough and chars <= forms.keys()]
+
+
 def _hash(form: str) -> int:
     """The engine's xxhash64 of a string."""
     value = xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass"), seed=42)
@@ -145,7 +168,7 @@ CHAINS = {chain: n for n, chain in enumerate(_all_chains())}
 
 def _plausible(word: str, form: str) -> bool:
     """Whether a form says anything: one character in place of one, with no letters around, may be meant as it stands."""
-    if form[0] in (LONE, OPENING) or "�" in form or _NOT_CLEAN.search(form):
+    if form[0] in MARKS or "�" in form or _NOT_CLEAN.search(form):
         return True
     others = len(_ASCII.sub("", form))
     if len(form) > len(word) and others > 1:
@@ -183,7 +206,7 @@ def undone(token: str, written: str, reads: tuple[str, ...]) -> list[tuple[str,
 def peeled(token: str) -> dict[str, str]:
     """Texts that one or two readings of UTF-8 in a single-byte encoding turn into the token, with the chain from there."""
     out: dict[str, str] = {}
-    todo = [(token, "")] if token[:1] not in (LONE, OPENING) else []
+    todo = [(token, "")] if token[:1] not in MARKS else []
     for _ in range(2):
         todo = [(text, f">{chain}{rest}") for t, rest in todo for text, chain in undone(t, "utf_8", READ_SINGLE) if not text.isascii()]
         for text, rest in todo:
@@ -216,7 +239,7 @@ def oddity(token: str) -> int:
     encodings lack, or capitals after small ones; Greek between Latin letters; Cyrillic letters and ideographs beside them; and
     runs that are UTF-8 read in another encoding.
     """
-    if token[:1] in (LONE, OPENING):
+    if token[:1] in MARKS:
         return 0
     if any(len(c) > 1 and not _HAS_CJK.search(c) and undone(c, "utf_8", READ_SINGLE) for c in _CLUSTERS.findall(token)):
         return 7
@@ -239,7 +262,7 @@ def oddity(token: str) -> int:
 
 
 _WORDS, _CLUSTERS, _PARTS = re.compile(WORD_TOKEN), re.compile(CLUSTER_TOKEN), re.compile(PART_TOKEN)
-_LONES, _OPENINGS = re.compile(LONE_TOKEN), re.compile(OPENING_TOKEN)
+_MARKED = {LONE: re.compile(LONE_TOKEN), OPENING: re.compile(OPENING_TOKEN), CLOSING: re.compile(CLOSING_TOKEN)}
 
 
 def _pieces(word: str) -> tuple[str, ...]:
@@ -267,6 +290,11 @@ def text_tokens(text: str, known: dict[str, tuple[str, ...]]) -> set[str]:
                         out.add(LONE + word)
                 elif "A" <= word[1] <= "Z" and "a" <= word[2:3] <= "z":
                     out.add(OPENING + word[0])
+        if word[-1] > "\x7f" and (word[-2:-1].isascii() and (len(word) > 1 or text[m.start() - 1 : m.start()] in (".", ",", "!", "?"))):
+            if m.end() == len(text) or text[m.end()] in " \t\n\r\x0b\x0c)]":
+                out.add(CLOSING + word[-1])
+    if any(t[0] in MARKS and any(t[1] in forms for forms in CONFUSIONS.values()) for t in out):
+        out.add(PROFILE + "".join(sorted({c for c in text if c > "\x7f"})))
     return out
 
 
@@ -345,7 +373,7 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string()))], names=["h", "token", "df", "rest"])
 
-    always = [*ALWAYS_KNOWN, *(m + c for m in (LONE, OPENING) for c in CONFUSED)]
+    always = [*ALWAYS_KNOWN, *(m + c for m in MARKS for c in CONFUSED)]
     clean = vocabulary.filter(~F.col("token").rlike("[\\x{FFFD}\\x80-\\x84\\x86-\\x9F]") & (~F.col("token").rlike(f"[{_CJK}]") | ~F.col("token").rlike("[A-Za-z]")))
     known = vocabulary.sparkSession.createDataFrame([(c, 0) for c in always], "token string, df bigint").withColumn("h", F.xxhash64("token"))
     sources = clean.unionByName(known)
@@ -356,14 +384,15 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
     # what was read wrongly again, in any order of encodings, is joined by what the last readings were given
     again = vocabulary.select("token", "df").mapInArrow(peel, "h bigint, token string, df bigint, rest string")
     met = forms.join(vocabulary.withColumn("rest", F.lit("")).unionByName(again), "h").withColumn("odd", oddness("token")).withColumn("word_odd", F.floor(F.col("chain") / 2).cast("int") % 8)
-    never_meant = (F.col("chain") % 2 == 1) | (F.col("rest") != "") | F.col("token").rlike(f"^{LONE}[{NEVER_ALONE}]$|^{OPENING}\\p{{Ll}}$")
+    never_meant = (F.col("chain") % 2 == 1) | (F.col("rest") != "")
+    marked = F.substring("token", 1, 1).isin(*MARKS)
     has_lost = F.col("token").contains("\ufffd")
     rarer = F.col("original_df") > F.col("df")
     usual = F.when(rarer, F.col("word_h"))
     best = (
         met.filter((F.col("rest") == "") | (F.col("chain") % 2 == 1))
         .filter(never_meant | (F.col("odd") >= F.col("word_odd")))
-        .withColumn("level", F.when(never_meant | (F.col("odd") > F.col("word_odd")), 2).when(rarer, 1).otherwise(0))
+        .withColumn("level", F.when(marked, 0).when(never_meant | (F.col("odd") > F.col("word_odd")), 2).when(rarer, 1).otherwise(0))
         .groupBy("token", "df")
         .agg(
             F.max(F.struct("level", (has_lost & rarer).alias("rarer"), (-F.col("word_odd")).alias("even"), "original_df", "word_h", (F.col("rest") == "").alias("direct"), "chain", "rest")).alias("best"),
@@ -388,23 +417,29 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
     # Chinese runs are whole sentences, which need not stand clean elsewhere
     chinese = cut_lineage(_chinese_by_pairs(vocabulary, clean).join(matched, "token", "left_anti"))
     weak = weak.join(chinese, "token", "left_anti")
-    matched = matched.unionByName(chinese)
-    lost = vocabulary.filter(F.col("token").rlike("[\\x{FFFD}\\x80-\\x84\\x86-\\x9F]")).join(matched, "token", "left_anti")
+    known_tokens = matched.select("token").unionByName(chinese.select("token"))
+    lost = vocabulary.filter(F.col("token").rlike("[\\x{FFFD}\\x80-\\x84\\x86-\\x9F]")).join(known_tokens, "token", "left_anti")
     none = F.lit(None)
     lost = lost.select("token", none.cast("string").alias("original"), none.cast("string").alias("chain"), "df", none.cast("bigint").alias("original_df"), F.lit(2).alias("level"))
-    return matched.unionByName(weak).unionByName(lost)
+    by = lambda df, name: df.withColumn("found_by", F.when(F.col("original").isNull(), "lost").otherwise(name))
+    return by(matched, "form").unionByName(by(chinese, "pairs")).unionByName(by(weak, "form")).unionByName(by(lost, "lost"))
 
 
 def garbled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, token, original, chain) for every garbled token of every document.
+    """(doc_id, token, original, chain, found_by) for every garbled token of every document.
+
+    found_by: 'form' for a form of a word of the corpus, 'pairs' for Chinese known by its pairs of ideographs, 'alone' for single
+    characters that their whole document explains, 'lost' for replacement and control characters that no word explains.
 
-    Tokens of single characters between blanks, or before a capitalised word, have the mark LONE or OPENING in front. Null, empty
+    Tokens of single characters between blanks, before a capitalised word or at a word's end have one of MARKS in front. Null, empty
     and ASCII texts, rows without an id and unusual characters used as meant give no rows; replacement and control characters
     are garbled even where no original is known; repeated rows give the same rows again; other columns are ignored.
     """
-    pairs = cut_lineage(tokens(docs, id_col, text_col))
+    found = cut_lineage(tokens(docs, id_col, text_col))
+    is_profile = F.col("token").startswith(PROFILE)
+    pairs, profiles = found.filter(~is_profile), found.filter(is_profile)
     known = cut_lineage(garbled_vocabulary(pairs))
-    met = cut_lineage(pairs.join(known, "token").select("doc_id", "token", "original", "chain", "level"))
+    met = cut_lineage(pairs.join(known, "token").select("doc_id", "token", "original", "chain", "level", "found_by"))
     gives = F.pandas_udf(lambda o, t, cs: pd.Series([any(garble(a, c) == b for c in some) for a, b, some in zip(o, t, cs)], dtype=bool), "boolean")
 
     def told(by: DataFrame) -> DataFrame:
@@ -415,7 +450,32 @@ def garbled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sure = met.filter("level = 2")
     turned = told(sure).select(F.col("original").alias("token"), F.col("token").alias("original")).distinct()
     firm = sure.unionByName(met.filter("level = 1").join(turned, ["token", "original"], "left_anti"))
-    return firm.unionByName(told(firm)).drop("level")
+    certain = cut_lineage(firm.unionByName(told(firm)).drop("level"))
+    return certain.unionByName(_alone(pairs, profiles).join(certain.select("doc_id", "token"), ["doc_id", "token"], "left_anti"))
+
+
+def _alone(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Single characters, marked, that nothing but punctuation read wrongly explains: all characters beyond ASCII of their document are such.
+
+    What at least as many documents hold in the same place beside other letters is meant, such as the French à.
+    """
+    marked = pairs.filter(F.substring("token", 1, 1).isin(*MARKS)).join(profiles.select("doc_id", F.col("token").alias("profile")), "doc_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc_id, token, profile in frame[["doc_id", "token", "profile"]].itertuples(index=False, name=None):
+                reads = [read for read in explaining(profile) if token[1] in CONFUSIONS[read]]
+                if reads:
+                    rows.append((doc_id, token, token[0] + CONFUSIONS[reads[0]][token[1]], f"cp1252>{reads[0]}"))
+                elif any(c.isalpha() and c != token[1] for c in profile[1:]):
+                    rows.append((doc_id, token, None, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "token", "original", "chain"])
+
+    judged = cut_lineage(marked.mapInPandas(run, f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, token string, original string, chain string"))
+    garbled = F.col("original").isNotNull()
+    words = judged.groupBy("token").agg(F.count_if(garbled).alias("g"), F.count_if(~garbled).alias("w")).filter(F.col("w") >= F.col("g"))
+    return judged.filter(garbled).join(words.select("token"), "token", "left_anti").select("doc_id", "token", "original", "chain", F.lit("alone").alias("found_by"))
 
 
 def _undo(token: str, chains: set[str]) -> str | None:
@@ -436,8 +496,8 @@ def _undo(token: str, chains: set[str]) -> str | None:
     return None
 
 
-def restored(text: str, found: dict[str, str | None], chains: set[str]) -> tuple[str, int]:
-    """The text with originals in place of garbled tokens, and how many garbled tokens stay."""
+def restored(text: str, found: dict[str, str | None], chains: set[str], alone: bool = False) -> tuple[str, int]:
+    """The text with originals in place of garbled tokens, and how many garbled tokens stay; alone: some were found as 'alone'."""
     left = 0
 
     def part(m: re.Match) -> str:
@@ -446,7 +506,8 @@ def restored(text: str, found: dict[str, str | None], chains: set[str]) -> tuple
     def cluster(m: re.Match) -> str:
         nonlocal left
         token = m[0]
-        new = found.get(token) or (_undo(token, chains) if not (token.isalpha() and len(token) == 1) else None)
+        meant = (token.isalpha() and len(token) == 1) or all(c in JOINING for c in token)  # as far as the token alone can tell
+        new = found.get(token) or (None if meant else _undo(token, chains))
         if new:
             return new
         new = _PARTS.sub(part, token)
@@ -456,9 +517,13 @@ def restored(text: str, found: dict[str, str | None], chains: set[str]) -> tuple
     def word(m: re.Match) -> str:
         return found.get(m[0]) or _CLUSTERS.sub(cluster, m[0])
 
-    for pattern, mark in ((_LONES, LONE), (_OPENINGS, OPENING)):
+    profile = PROFILE + "".join({c for c in text if c > "\x7f"})
+    if alone and (reads := explaining(profile)):  # all of the text's characters beyond ASCII are punctuation read wrongly
+        return text.translate({ord(a): b for a, b in CONFUSIONS[reads[0]].items()}), left
+    text = _WORDS.sub(word, text)
+    for mark, pattern in _MARKED.items():
         text = pattern.sub(lambda m: (found.get(mark + m[0]) or mark + m[0])[1:], text)
-    return _WORDS.sub(word, text), left
+    return text, left
 
 
 def restore_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -468,14 +533,14 @@ def restore_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen in the same document, if garbling the result gives the token again. n_left counts runs that still hold replacement
     or control characters. Documents without garbled tokens give no rows.
     """
-    by_doc = garbled_tokens(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("token", "original", "chain")).alias("found"))
+    by_doc = garbled_tokens(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("token", "original", "chain", "found_by")).alias("found"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).join(by_doc, "doc_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for doc_id, text, found in frame.itertuples(index=False, name=None):
-                new, left = restored(text, {f["token"]: f["original"] for f in found if f["original"]}, {f["chain"] for f in found if f["chain"]})
+                new, left = restored(text, {f["token"]: f["original"] for f in found if f["original"]}, {f["chain"] for f in found if f["chain"]}, any(f["found_by"] == "alone" for f in found))
                 out.append((doc_id, new, len(found), left))
             yield pd.DataFrame(out, columns=["doc_id", "restored", "n_garbled", "n_left"])
 

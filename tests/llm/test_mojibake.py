@@ -92,3 +92,23 @@ def test_any_two_or_three_readings_in_a_row(spark):
     bad = {i: broken("für größte", *(x for read in reads for x in ("utf_8", read))) for i, reads in chains.items()}
     docs = spark.createDataFrame([(1, "für"), (2, "größte"), *bad.items()], "doc_id bigint, text string")
     assert {r["doc_id"]: r["restored"] for r in m.restore_texts(docs).collect()} == {i: "für größte" for i in bad}
+
+
+def test_lone_letters_are_words_where_the_text_has_others(spark):
+    """Vocatives and conjunctions of one letter stay; where nothing else is beyond ASCII, a letter in the place of a bullet or quote doesn't."""
+    rows = [(1, "Ô toi qui lis, ô ami"), (2, "perché ò già"), (3, "à la carte"), (4, "le relevé à l’étape"), (5, "il va à Orléans"), (6, "½ cup"), (7, "ô ami très cher"), (8, "ô ami très cher"), (9, "es así"), (10, "así es más así"), (11, "señor")]
+    bad = [(20, broken("• one", "cp1252", "mac_roman")), (21, broken("“The end” they said", "cp1252", "cp437")), (22, broken("« yes » no", "cp1252", "cp437")), (23, broken("so it went… And", "cp1252", "mac_roman"))]
+    docs = spark.createDataFrame(rows + bad, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["restored"] for r in m.restore_texts(docs).collect()}
+    assert {i: got.get(i) for i in (20, 21)} == {20: "• one", 21: "“The end” they said"} and set(got) == {20, 21, 22, 23} and got[23] == "so it went… And"
+
+
+def test_a_garbled_form_more_frequent_than_its_word(spark):
+    rows = [(1, "Die Größe passt"), *((i, "Die Grˆﬂe passt") for i in (2, 3, 4))]
+    got = {r["doc_id"]: r["restored"] for r in m.restore_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: "Die Größe passt" for i in (2, 3, 4)}
+
+
+def test_every_find_says_how(spark, docs):
+    by = {r["found_by"] for r in m.garbled_tokens(docs).collect()}
+    assert {"form", "lost"} <= by <= {"form", "pairs", "alone", "lost"}
