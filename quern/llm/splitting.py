@@ -51,6 +51,8 @@ def _attempt(size: int, count: int, limit: int, overlap: int, levels: tuple[list
     for i in range(count - 1):
         high = min(size - 1, last - overlap + limit if ends else limit)
         low = last + 1 if ends else min(overlap + 1, high)
+        if low > high:  # boundaries beyond the targets used the text up before its time
+            break
         target = min(high, max(low, round(even + i * (even - overlap))))
         near = (max(low, target - slack), min(high, target + slack))
         end = None
@@ -72,6 +74,18 @@ def _attempt(size: int, count: int, limit: int, overlap: int, levels: tuple[list
     return [*ends, (size, "end")]
 
 
+def _greedy(size: int, limit: int, overlap: int, words: list[int]) -> list[tuple[int, str]]:
+    """Ends at the last word boundary in reach: what is left should every attempt with balanced targets fail; no text is known for which one does."""
+    ends, last = [], 0
+    while size - max(0, last - overlap) > limit:
+        high = min(size - 1, max(0, last - overlap) + limit)
+        at = bisect.bisect_right(words, high) - 1
+        snapped = at >= 0 and words[at] > max(last, overlap)
+        last = words[at] if snapped else high
+        ends.append((last, "word" if snapped else "hard"))
+    return [*ends, (size, "end")]
+
+
 def cut(text: str, limit: int = 800, overlap: int = 80) -> list[tuple[int, int, str]]:
     """(start, end, kind of end) of the pieces of a text; one piece if it is within the limit, none if it is empty."""
     size = len(text)
@@ -80,20 +94,9 @@ def cut(text: str, limit: int = 800, overlap: int = 80) -> list[tuple[int, int,
     levels = boundaries(text)
     step = limit - overlap
     count = 1 + -(-(size - limit) // step)
-    ends = None
-    for more in range(0, max(4, count)):
-        ends = _attempt(size, count + more, limit, overlap, levels)
-        if ends:
-            break
-    if not ends:
-        ends, last = [], 0
-        while size - max(0, last - overlap) > limit:
-            high = min(size - 1, max(0, last - overlap) + limit)
-            at = bisect.bisect_right(levels[2], high) - 1
-            snapped = at >= 0 and levels[2][at] > max(last, overlap)
-            last = levels[2][at] if snapped else high
-            ends.append((last, "word" if snapped else "hard"))
-        ends.append((size, "end"))
+    # a boundary just behind the last end may be the only one in reach and cost a piece for each hard cut: twice the count is enough
+    attempts = (_attempt(size, count + more, limit, overlap, levels) for more in range(count + 3))
+    ends = next((e for e in attempts if e), None) or _greedy(size, limit, overlap, levels[2])
     out, start = [], 0
     for end, kind in ends:
         out.append((start, end, kind))

@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quern.llm import splitting
 from quern.llm.splitting import BREAKS, cut, longest_unbroken, split_oversized
 
 
@@ -69,3 +70,25 @@ def test_found_knows_only_the_breaks_of_the_query(spark, tmp_path):
     spark.createDataFrame([("s", n, t) for n, t in texts.items()], "source string, page_no int, text string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([], "source string, chunk_id bigint, page_no int, text string, char_count int").write.parquet(f"{tmp_path}/chunks.parquet")
     assert {r["item_no"]: r["cut"] for r in p5_found(spark, str(tmp_path)).collect()} == {1: "hard", 2: "soft", 3: "hard"}
+
+
+def test_balanced_targets_always_succeed(monkeypatch):
+    """Texts made to trap the snapping: lone boundaries before stretches about as long as a piece. The greedy way out is never taken."""
+    import random
+
+    def never(*_):
+        raise AssertionError("the balanced way failed")
+
+    monkeypatch.setattr(splitting, "_greedy", never)
+    rng = random.Random(6)
+    for _ in range(3000):
+        limit = rng.choice((10, 40, 100))
+        overlap = rng.randrange(limit // 2)
+        text = "".join("x" * max(0, int(rng.gauss(limit - overlap, limit / 4))) + rng.choice((" ", ". ", "\n\n", "  ", "")) for _ in range(rng.randrange(2, 30)))
+        pieces = splitting.cut(text, limit, overlap)
+        assert all(e - s <= limit for s, e, _ in pieces) and (not text or (pieces[0][0] == 0 and pieces[-1][1] == len(text)))
+        assert all(b[0] == max(0, a[1] - overlap) and b[1] > a[1] for a, b in zip(pieces, pieces[1:]))
+        # a hard cut only where nothing was in reach
+        for (s, e, kind), after in zip(pieces, pieces[1:]):
+            if kind == "hard":
+                assert not any(max(s + overlap, 0) < w < e for w in splitting.boundaries(text)[2])
