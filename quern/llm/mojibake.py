@@ -377,7 +377,9 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
     clean = vocabulary.filter(~F.col("token").rlike("[\\x{FFFD}\\x80-\\x84\\x86-\\x9F]") & (~F.col("token").rlike(f"[{_CJK}]") | ~F.col("token").rlike("[A-Za-z]")))
     known = vocabulary.sparkSession.createDataFrame([(c, 0) for c in always], "token string, df bigint").withColumn("h", F.xxhash64("token"))
     sources = clean.unionByName(known)
-    forms = sources.mapInArrow(run, "h bigint, word_h bigint, original_df bigint, chain int")
+    # a token gives some fifty forms, so the vocabulary, read from few files, is spread first
+    spread = sources.repartition(int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    forms = spread.mapInArrow(run, "h bigint, word_h bigint, original_df bigint, chain int")
     # a form of several characters in place of fewer can't be meant, nor can these characters alone, nor one odder than the word; of
     # equally odd ones, the form must be rarer than the word. A word odder than the form is no original
     oddness = F.pandas_udf(lambda tokens: tokens.map(lambda t: min(oddity(t), 7)).astype("int32"), "int")
