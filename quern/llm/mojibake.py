@@ -37,8 +37,8 @@ LONE_TOKEN, OPENING_TOKEN = r"(?<![^\s])[^\x00-\x7F](?![^\s])", r"(?<![^\s(\[])[
 CLOSING_TOKEN = r"(?<=[A-Za-z.,!?])[^\x00-\x7F](?![^\s)\]])"
 LONE, OPENING, CLOSING = "\x01", "\x02", "\x04"
 MARKS = (LONE, OPENING, CLOSING)
-#: All characters beyond ASCII of a text in which a character with such a mark stands, sorted, after this.
-PROFILE = "\x03"
+#: Before a marked character that its whole text explains (with the reading after it), and before one beside other letters.
+EXPLAINED, BESIDE = "\x03", "\x05"
 #: Punctuation that single-byte encodings confuse with letters, and characters that every vocabulary knows (fixed values).
 CONFUSED = "–—•…“”‘’«»"
 ALWAYS_KNOWN = "–—•…“”‘’‚„†‡‰‹›€™−≤≥≠≈→←" + "".join(map(chr, [*range(0xA1, 0xAD), *range(0xAE, 0x180)]))
@@ -143,9 +143,8 @@ def _confusions() -> dict[str, dict[str, str]]:
 CONFUSIONS = _confusions()
 
 
-def explaining(profile: str) -> list[str]:
-    """The readings that make punctuation of every character beyond ASCII of a text: of a letter at least, or of two different characters."""
-    chars = set(profile[1:])
+def explaining(chars: set[str]) -> list[str]:
+    """The readings that make punctuation of all characters beyond ASCII of a text: of a letter at least, or of two different characters."""
     enough = len(chars) > 1 or any(unicodedata.category(c) in ("Lu", "Ll") for c in chars)
     return [read for read, forms in CONFUSIONS.items() if enough and chars <= forms.keys()]
 
@@ -293,8 +292,16 @@ def text_tokens(text: str, known: dict[str, tuple[str, ...]]) -> set[str]:
         if word[-1] > "\x7f" and (word[-2:-1].isascii() and (len(word) > 1 or text[m.start() - 1 : m.start()] in (".", ",", "!", "?"))):
             if m.end() == len(text) or text[m.end()] in " \t\n\r\x0b\x0c)]":
                 out.add(CLOSING + word[-1])
-    if any(t[0] in MARKS and any(t[1] in forms for forms in CONFUSIONS.values()) for t in out):
-        out.add(PROFILE + "".join(sorted({c for c in text if c > "\x7f"})))
+    marked = [t for t in out if t[0] in MARKS and any(t[1] in forms for forms in CONFUSIONS.values())]
+    if marked:
+        chars = {c for c in text if c > "\x7f"}
+        reads = explaining(chars)
+        for t in marked:
+            read = next((r for r in reads if t[1] in CONFUSIONS[r]), None)
+            if read:
+                out.add(EXPLAINED + t + read)
+            elif any(c.isalpha() and c != t[1] for c in chars):
+                out.add(BESIDE + t)
     return out
 
 
@@ -438,8 +445,8 @@ def garbled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are garbled even where no original is known; repeated rows give the same rows again; other columns are ignored.
     """
     found = cut_lineage(tokens(docs, id_col, text_col))
-    is_profile = F.col("token").startswith(PROFILE)
-    pairs, profiles = found.filter(~is_profile), found.filter(is_profile)
+    judged = F.substring("token", 1, 1).isin(EXPLAINED, BESIDE)
+    pairs = found.filter(~judged)
     known = cut_lineage(garbled_vocabulary(pairs))
     met = cut_lineage(pairs.join(known, "token").select("doc_id", "token", "original", "chain", "level", "found_by"))
     gives = F.pandas_udf(lambda o, t, cs: pd.Series([any(garble(a, c) == b for c in some) for a, b, some in zip(o, t, cs)], dtype=bool), "boolean")
@@ -452,32 +459,21 @@ def garbled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sure = met.filter("level = 2")
     turned = told(sure).select(F.col("original").alias("token"), F.col("token").alias("original")).distinct()
     firm = sure.unionByName(met.filter("level = 1").join(turned, ["token", "original"], "left_anti"))
-    certain = cut_lineage(firm.unionByName(told(firm)).drop("level"))
-    return certain.unionByName(_alone(pairs, profiles).join(certain.select("doc_id", "token"), ["doc_id", "token"], "left_anti"))
+    return firm.unionByName(told(firm)).drop("level").unionByName(_alone(found.filter(judged))).dropDuplicates(["doc_id", "token"])
 
 
-def _alone(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+def _alone(judged: DataFrame) -> DataFrame:
     """Single characters, marked, that nothing but punctuation read wrongly explains: all characters beyond ASCII of their document are such.
 
     What at least as many documents hold in the same place beside other letters is meant, such as the French à.
     """
-    marked = pairs.filter(F.substring("token", 1, 1).isin(*MARKS)).join(profiles.select("doc_id", F.col("token").alias("profile")), "doc_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, token, profile in frame[["doc_id", "token", "profile"]].itertuples(index=False, name=None):
-                reads = [read for read in explaining(profile) if token[1] in CONFUSIONS[read]]
-                if reads:
-                    rows.append((doc_id, token, token[0] + CONFUSIONS[reads[0]][token[1]], f"cp1252>{reads[0]}"))
-                elif any(c.isalpha() and c != token[1] for c in profile[1:]):
-                    rows.append((doc_id, token, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "token", "original", "chain"])
-
-    judged = cut_lineage(marked.mapInPandas(run, f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, token string, original string, chain string"))
-    garbled = F.col("original").isNotNull()
-    words = judged.groupBy("token").agg(F.count_if(garbled).alias("g"), F.count_if(~garbled).alias("w")).filter(F.col("w") >= F.col("g"))
-    return judged.filter(garbled).join(words.select("token"), "token", "left_anti").select("doc_id", "token", "original", "chain", F.lit("alone").alias("found_by"))
+    kind, mark, form = F.substring("token", 1, 1), F.substring("token", 2, 1), F.substring("token", 3, 1)
+    rows = judged.select("doc_id", F.concat(mark, form).alias("token"), (kind == EXPLAINED).alias("garbled"), F.expr("substring(token, 4)").alias("read"))
+    words = rows.groupBy("token").agg(F.count_if("garbled").alias("g"), F.count_if(~F.col("garbled")).alias("w")).filter(F.col("w") >= F.col("g"))
+    was = F.create_map(*[F.lit(x) for read, forms in CONFUSIONS.items() for f, c in forms.items() for x in (f + read, c)])
+    original = F.concat(F.substring("token", 1, 1), F.element_at(was, F.concat(F.substring("token", 2, 1), "read")))
+    kept = rows.filter("garbled").join(words.select("token"), "token", "left_anti")
+    return kept.select("doc_id", "token", original.alias("original"), F.concat(F.lit("cp1252>"), "read").alias("chain"), F.lit("alone").alias("found_by"))
 
 
 def _undo(token: str, chains: set[str]) -> str | None:
@@ -519,8 +515,7 @@ def restored(text: str, found: dict[str, str | None], chains: set[str], alone: b
     def word(m: re.Match) -> str:
         return found.get(m[0]) or _CLUSTERS.sub(cluster, m[0])
 
-    profile = PROFILE + "".join({c for c in text if c > "\x7f"})
-    if alone and (reads := explaining(profile)):  # all of the text's characters beyond ASCII are punctuation read wrongly
+    if alone and (reads := explaining({c for c in text if c > "\x7f"})):  # all of the text's characters beyond ASCII are punctuation read wrongly
         return text.translate({ord(a): b for a, b in CONFUSIONS[reads[0]].items()}), left
     text = _WORDS.sub(word, text)
     for mark, pattern in _MARKED.items():
