@@ -45,8 +45,11 @@ def vector_search(query_vectors: DataFrame, doc_vectors: DataFrame, k: int = 5,
     """(qid, doc_id, score, rank) of the k most similar documents of at least min_score.
 
     With min_score 0 or less, documents that share no term count too, with score 0: only the smallest ids among them can be
-    hits, so each query is joined with a few documents at most and never with all.
+    hits, so each query is joined with a few documents at most and never with all. Without queries or documents there are no rows,
+    whatever k; otherwise k must be at least 1.
     """
+    if k < 1 and (query_vectors.isEmpty() or doc_vectors.isEmpty()):
+        return query_vectors.sparkSession.createDataFrame([], f"qid {query_vectors.schema['qid'].dataType.simpleString()}, doc_id bigint, score double, rank int")
     scored = similarities(query_vectors, doc_vectors).filter(F.col("score") >= min_score)
     if min_score > 0:
         return top_k(scored, k)

@@ -164,10 +164,12 @@ class Memory:
 
     def search(self, queries: DataFrame, k: int = 5, min_score: float = 0.05, scored: bool = True, weights: Weights | None = None, since: datetime | None = None, since_mode: str = "post", as_of: datetime | None = None) -> DataFrame:
         """Hits (qid, chunk_id, page_no, score, raw_score, recency, parts, rank, text) of queries (qid, query)."""
-        if k < 1:
-            raise ValueError("k must be at least 1")
         records, model = self.records(), self.model()
         asked = self.backend.asked(queries, model)
+        if k < 1 and (asked.isEmpty() or records.isEmpty()):  # nothing asked, or nothing there, comes before a wrong k
+            k = 1
+        elif k < 1:
+            raise ValueError("k must be at least 1")
         moment: Column = F.lit((as_of or datetime.now(UTC)).astimezone(UTC).isoformat()).cast("timestamp")
         limit = F.lit(since.astimezone(UTC).isoformat()).cast("timestamp") if since else None
         docs = tfidf.long_form(records)

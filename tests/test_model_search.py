@@ -57,6 +57,7 @@ def test_search_ties_and_limits(spark):
     assert hits(k=2) == [1, 2] and hits(k=10) == [1, 2, 3]
     assert hits(k=4, min_score=0.0) == [1, 2, 3, 8] and hits(k=10, min_score=0.0) == [1, 2, 3, 8, 9]
     assert search.vector_search(q.limit(0), d).count() == 0 and search.vector_search(q, d.limit(0), min_score=0.0).count() == 0
+    assert search.vector_search(q.limit(0), d, k=0).count() == 0 and search.vector_search(q, d.limit(0), k=0).count() == 0
     with pytest.raises(ValueError):
         search.vector_search(q, d, k=0)
 

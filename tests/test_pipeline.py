@@ -34,7 +34,8 @@ def test_ingest_search_restart(spark, tmp_path):
     assert memory.search(ask(spark, "unknown words"), as_of=NOW).count() == 0
     assert memory.search(ask(spark, "apples"), min_score=0.0, as_of=NOW).count() == 3
     with pytest.raises(ValueError):
-        memory.search(ask(spark, "x"), k=0)
+        memory.search(ask(spark, "apples"), k=0)
+    assert memory.search(ask(spark, "unknown words"), k=0).count() == 0
     forced = memory.ingest(pages(spark, [("a", 1, "plums")]), force=True, created_at=NOW)
     assert {tuple(r) for r in forced.collect()} == {("a", 1, 1, False)}
     # the frozen model doesn't know plums, so the chunk has no vector and no record until the model is fitted again
