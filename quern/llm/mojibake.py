@@ -114,9 +114,9 @@ def garbled_forms(word: str) -> dict[str, str]:
                         put(_read(_write(twice, "utf_8"), read), f"utf_8>{read}>utf_8>{read}>utf_8>{read}")
         put(data.decode("ascii", "replace"), "utf_8>ascii")
         put(data.decode("cp1252", "replace"), "utf_8>cp1252 strict")
-    data = _write(word, "gbk") if _HAS_CJK.search(word) else None
+    data = _write(word, "gbk")  # has accented letters and typographic punctuation too
     if data is not None:
-        for read in (*READ_SINGLE, *READ_MULTI, "utf_8", "ascii"):
+        for read in (*READ_SINGLE, *READ_MULTI, "utf_8", "ascii") if _HAS_CJK.search(word) else ("cp1252", "cp1251", "big5", "utf_8"):
             if read != "gbk":
                 put(_read(data, read), f"gbk>{read}")
     for written in WRITTEN_SINGLE:
@@ -448,18 +448,21 @@ def garbled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = F.substring("token", 1, 1).isin(EXPLAINED, BESIDE)
     pairs = found.filter(~judged)
     known = cut_lineage(garbled_vocabulary(pairs))
-    met = cut_lineage(pairs.join(known, "token").select("doc_id", "token", "original", "chain", "level", "found_by"))
+    met = cut_lineage(pairs.join(known, "token").select("doc_id", "token", "original", "chain", "df", "level", "found_by"))
     gives = F.pandas_udf(lambda o, t, cs: pd.Series([any(garble(a, c) == b for c in some) for a, b, some in zip(o, t, cs)], dtype=bool), "boolean")
 
     def told(by: DataFrame) -> DataFrame:
         seen = by.filter(F.col("original").isNotNull()).groupBy("doc_id").agg(F.collect_set("chain").alias("chains"))
-        return met.filter("level = 0").join(seen, "doc_id").filter(gives("original", "token", "chains")).drop("chains")
+        shown = met.filter("level = 0").join(seen, "doc_id").filter(gives("original", "token", "chains")).drop("chains")
+        # a garbled passage beside clean text shows a chain too: at least half of a token's documents must
+        often = shown.groupBy("token", "original").agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("df")).filter("2 * n >= df").select("token", "original")
+        return shown.join(often, ["token", "original"], "left_semi")
 
-    # a word rarer than its own garbled form is still the word if a document shows which of the two is garbled
+    # a word rarer than its own garbled form is still the word if documents show which of the two is garbled
     sure = met.filter("level = 2")
     turned = told(sure).select(F.col("original").alias("token"), F.col("token").alias("original")).distinct()
     firm = sure.unionByName(met.filter("level = 1").join(turned, ["token", "original"], "left_anti"))
-    return firm.unionByName(told(firm)).drop("level").unionByName(_alone(found.filter(judged))).dropDuplicates(["doc_id", "token"])
+    return firm.unionByName(told(firm)).drop("level", "df").unionByName(_alone(found.filter(judged))).dropDuplicates(["doc_id", "token"])
 
 
 def _alone(judged: DataFrame) -> DataFrame:

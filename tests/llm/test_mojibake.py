@@ -112,3 +112,12 @@ def test_a_garbled_form_more_frequent_than_its_word(spark):
 def test_every_find_says_how(spark, docs):
     by = {r["found_by"] for r in m.garbled_tokens(docs).collect()}
     assert {"form", "lost"} <= by <= {"form", "pairs", "alone", "lost"}
+
+
+def test_one_garbled_passage_turns_no_word_of_clean_text(spark):
+    """A document with a certain chain and clean words elsewhere: its apostrophe stays, and the rare form of the frequent word is garbled."""
+    rows = [(i, "I don’t know") for i in range(9)] + [(20, "ça garçon été"), (21, broken("ça garçon", "utf_8", "cp1252")), (30, f"don’t {broken('garçon', 'mac_roman', 'cp1252')} {broken('ça', 'mac_roman', 'cp1252')}")]
+    rows += [(40, broken("I don’t know", "cp1252", "mac_roman")), (41, f"a {broken('été', 'gbk', 'cp1252')}"), (42, f"I {broken('don’t', 'gbk', 'cp1252')} know")]
+    got = {r["doc_id"]: r["restored"] for r in m.restore_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[40] == "I don’t know" and got[21] == "ça garçon" and got[42] == "I don’t know" and got[41] == "a été" and not set(got) & set(range(9))
+    assert got.get(30, "don’t").startswith("don’t")
