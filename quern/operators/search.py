@@ -12,23 +12,28 @@ from pyspark.sql import functions as F
 from quern.functions.arrow import shared_tables
 from quern.functions.score import DAY_S, Weights, memory_score, recency
 from quern.operators import model as tfidf
-from quern.session import new_folder
+from quern.session import cut_lineage, new_folder
 
-#: Parts that documents are split into when they are joined by their terms.
-PARTS = 8
+#: Rows of query vectors (some 50 bytes each) that are broadcast at most, and parts that documents are split into beyond.
+FEW, PARTS = 200_000, 8
 
 
-def similarities(query_vectors: DataFrame, doc_vectors: DataFrame, parts: int = PARTS) -> DataFrame:
+def similarities(query_vectors: DataFrame, doc_vectors: DataFrame, few: int = FEW, parts: int = PARTS) -> DataFrame:
     """(qid, doc_id, score): the cosine of every query and document that share a term.
 
     An inverted index as a plan: vectors are made unit vectors before they meet, so the sums by pair, combined before they are shuffled,
-    are the scores and no pair is joined again. Queries are vectors (qid, term, weight), the smaller side: each of their rows
-    is repeated for `parts` parts of the documents, so a term that stands in most documents is joined in as many tasks.
+    are the scores and no pair is joined again. Queries are vectors (qid, term, weight). Up to `few` of their rows, which are counted,
+    are sent to the documents, so that no term gathers anywhere; more of them are joined by a shuffle, each repeated for `parts` parts of
+    the documents, so that a term that stands in most documents is joined in as many tasks.
     """
-    asked = tfidf.units(query_vectors.withColumnRenamed("qid", "doc_id")).select(F.col("doc_id").alias("qid"), "term", F.col("weight").alias("wq"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    docs = tfidf.units(doc_vectors).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    scores = asked.join(docs, ["term", "part"]).groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
+    asked = cut_lineage(tfidf.units(query_vectors.withColumnRenamed("qid", "doc_id")).select(F.col("doc_id").alias("qid"), "term", F.col("weight").alias("wq")))
+    docs = tfidf.units(doc_vectors)
+    if asked.count() <= few:
+        met = docs.join(F.broadcast(asked), "term")
+    else:
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        met = asked.join(docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), ["term", "part"])
+    scores = met.groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
     # rounding may push the cosine of equal vectors just over 1
     return scores.select("qid", "doc_id", F.least(F.lit(1.0), "score").alias("score"))
 

@@ -47,6 +47,7 @@ def test_cosine(spark):
     q = vectors(spark, [(1, "a", 2.0), (1, "b", 1.0)], "qid")
     d = vectors(spark, [(1, "a", 4.0), (1, "b", 2.0), (2, "c", 1.0), (3, "a", 1.0), (4, "a", 0.0)])
     got = {r["doc_id"]: r["score"] for r in search.similarities(q, d).collect()}
+    assert got == pytest.approx({r["doc_id"]: r["score"] for r in search.similarities(q, d, few=0).collect()})
     assert got == pytest.approx({1: 1.0, 3: 2 / math.sqrt(5)}) and max(got.values()) <= 1.0
 
 
