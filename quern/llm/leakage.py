@@ -13,6 +13,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -228,11 +229,30 @@ def _broadcast_leaks(docs: DataFrame, items: DataFrame, min_match: int) -> DataF
     return docs.mapInArrow(run, f"doc_id bigint, item_id bigint, {RESULT}")
 
 
-def _bits(seeds: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Three places of every seed in a filter of `bits` bits, a power of two."""
+def _bits(seeds: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Five places of every seed in a filter of `bits` bits, a power of two."""
     with np.errstate(over="ignore"):
         mixed = seeds.astype(np.uint64) * _BASE
-    return [((mixed >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 17, 34)]
+    return (((mixed >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 9, 18, 27, 36))
+
+
+def passing(seeds: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Positions of the seeds that a filter may have; most drop out at the first place."""
+    at = np.arange(len(seeds))
+    for n in range(5):
+        place = next(p for i, p in enumerate(_bits(seeds[at], 64 * len(held))) if i == n)
+        at = at[(held[place >> 6] >> (place & 63)) & 1 == 1]
+    return at
+
+
+class _Codes(dict):
+    """Words' codes, remembered; emptied when it gets large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = code = int(word_codes([word])[0])
+        return code
 
 
 def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
@@ -240,7 +260,7 @@ def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = np.unique(np.concatenate(_bits(batch.column("seed").to_numpy().view(np.uint64), bits)))
+            place = np.unique(np.concatenate(list(_bits(batch.column("seed").to_numpy().view(np.uint64), bits))))
             yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array((np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64))], names=["word", "mask"])
 
     out = np.zeros(bits // 64, np.int64)
@@ -252,30 +272,30 @@ def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
 def _shuffled_leaks(docs: DataFrame, items: DataFrame, min_match: int, parts: int = 8) -> DataFrame:
     lengths = sorted({r["n"] for r in items.mapInPandas(_sizes(min_match), "n int").distinct().collect()})  # at most min_match values
     right = cut_lineage(items.mapInPandas(_seeds(min_match), "item_id bigint, size int, seed bigint").distinct())
-    # about twelve bits a seed; beyond the largest filter it lets more documents through, which costs time but no rows
-    bits = 1 << min(max(10, (12 * right.count()).bit_length()), FILTER_BITS)
+    # 64 bits a seed, as a document asks for thousands; beyond the largest filter more documents pass, which costs time but no rows
+    bits = 1 << min(max(10, (64 * right.count()).bit_length()), FILTER_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(seed_filter(right, bits))
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+    def near_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, codes = shared.value, _Codes()
         for batch in by_length(batches, "text", 1_000_000):
-            kept, found = [], []
-            for n, text in enumerate(batch.column("text").to_pylist()):
-                codes, own = word_codes(words(text)), []
-                for size in lengths:
-                    seeds = np.unique(rolling(codes, size))
-                    ok = np.ones(len(seeds), bool)
-                    for place in _bits(seeds, bits):
-                        ok &= (held[place >> 6] >> (place & 63)) & 1 == 1
-                    own += [{"size": size, "seed": s} for s in seeds[ok].view(np.int64).tolist()]
-                if own:
-                    kept.append(n)
-                    found.append(own)
+            split = [words(t) for t in batch.column("text").to_pylist()]
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
+            owner = np.repeat(np.arange(len(split)), sizes)
+            found: dict[int, list[dict[str, int]]] = defaultdict(list)
+            for size in lengths:
+                seeds = rolling(flat, size)
+                at = passing(seeds, held)
+                at = at[owner[at] == owner[at + size - 1]]
+                for doc, seed in {(d, x) for d, x in zip(owner[at].tolist(), seeds[at].view(np.int64).tolist())}:
+                    found[doc].append({"size": size, "seed": seed})
+            kept = sorted(found)
             some = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), pa.array(found, kind)], names=["doc_id", "text", "seeds"])
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), pa.array([found[d] for d in kept], kind)], names=["doc_id", "text", "seeds"])
 
     kind = pa.list_(pa.struct([("size", pa.int32()), ("seed", pa.int64())]))
-    near = cut_lineage(docs.mapInArrow(passing, "doc_id bigint, text string, seeds array<struct<size:int,seed:bigint>>"))
+    near = cut_lineage(docs.mapInArrow(near_items, "doc_id bigint, text string, seeds array<struct<size:int,seed:bigint>>"))
     # a seed that very many documents share is joined in several parts, by document; the items' seeds are repeated for each part
     left = near.select("doc_id", F.inline("seeds")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
