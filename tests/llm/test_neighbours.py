@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quern.llm import neighbours as nb
@@ -110,6 +111,58 @@ def test_a_small_table_gives_all_ten(spark):
     assert set(own) == {*range(50), 60} and all(len(o) == len(set(o)) == 10 and i not in o for i, o in own.items())
 
 
+def ranked(rows, k=10, least=-1.0):
+    """{record: [(other, score)]} as SQL ranks them: by scores rounded to 6 digits, then by id."""
+    ids, s = brute(rows)
+    out = {}
+    for r, i in enumerate(ids):
+        line = sorted((-round(x, 6), j) for x, j in zip(s[r].tolist(), ids) if j != i and x > 0)[:k]
+        out[i] = [(j, -x) for x, j in line if s[r][ids.index(j)] >= least]
+    return out
+
+
+def families(n=900, of=150):
+    """Vectors of which some are copied several times, each copy a little changed."""
+    rng, rows = random.Random(5), vectors(n, seed=3)
+    for i in range(of):
+        for _ in range(1 + i % 14):
+            v = {w: x * (1 + rng.uniform(-0.6, 0.6)) for w, x in rows[i][1].items()}
+            rows.append((len(rows), v | ({f"new{len(rows)}": 0.1} if rng.random() < 0.5 else {})))
+    return rows
+
+
+def test_close_pairs_are_all_found(spark):
+    """Nothing is left out, however few vectors a query looks at and scores."""
+    rows = families()
+    want = {(i, j) for i, line in ranked(rows, least=0.9).items() for j, _ in line}
+    got = nb.nearest_records(table(spark, rows), min_score=0.9, look_at=1, rerank=1).collect()
+    assert len(want) > 2000 and {(r["rec_id"], r["other_id"]) for r in got} == want
+
+
+def test_scores_that_round_to_the_same_are_ranked_by_id(spark):
+    """The greater ids are nearer by less than half a millionth, so the smaller ones come first."""
+    rows = [(0, {"a": 1.0, "b": 1.0})] + [(i, {"a": 1.0, "b": 1.0, f"c{i}": 0.5 - 1e-8 * i}) for i in range(1, 31)]
+    for least in (None, 0.8):
+        got = nb.nearest_records(table(spark, rows), min_score=least).filter("rec_id = 0").orderBy("rank").collect()
+        assert [r["other_id"] for r in got] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("least", [None, 0.9])
+def test_no_neighbour_is_missed(spark, monkeypatch, request, least):
+    """Many lists and blocks, few of which a query looks at first; close pairs that are too many to be listed are found the same way."""
+    for name, value in (("PER_LIST", 15), ("PER_BLOCK", 400), ("PER_GROUP", 60), ("PER_TASK", 6), ("SAMPLE", 800), ("SHARE", 0.1), ("HEAD", 200), ("BOUND", 40), ("HELD", 1)):
+        monkeypatch.setattr(nb, name, value, raising=False)
+    cloudpickle.register_pickle_by_value(nb)  # else the tasks have the values of the file
+    request.addfinalizer(lambda: cloudpickle.unregister_pickle_by_value(nb))
+    rows = families(500, 60) + [(2000 + i, {f"alone{i % 3}": 1.0, f"part{i}": 0.5}) for i in range(12)]
+    want = ranked(rows, least=least or -1)
+    got = {}
+    for r in nb.nearest_records(table(spark, rows), min_score=least, look_at=50, rerank=15).orderBy("rec_id", "rank").collect():
+        got.setdefault(r["rec_id"], []).append((r["other_id"], r["score"]))
+    assert {i: [j for j, _ in line] for i, line in got.items()} == {i: [j for j, _ in line] for i, line in want.items() if line}
+    assert all(abs(x - y) < 2e-6 for i, line in got.items() for (_, x), (_, y) in zip(line, want[i]))
+
+
 RECORDS = "/root/testdata/sf0.1/memory_records.parquet"
 
 
