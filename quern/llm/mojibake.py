@@ -45,6 +45,8 @@ ALWAYS_KNOWN = "–—•…“”‘’‚„†‡‰‹›€™−≤≥≠
 #: Signs that stand between letters or before a word as meant, and other signs of single-byte encodings that do neither (fixed values).
 JOINING = CONFUSED + "·‚„‹›\xad‐‑―"
 NEVER_LEADING = "¤¦¨ª¬¯²³´¶¸¹º¼½¾×÷ˆ˜˙˘˚˝˛ˇ"
+#: Rows of garbled tokens (some 150 bytes each) that are broadcast at most.
+FEW = 100_000
 _NOT_CLEAN = re.compile("[�\x80-\x84\x86-\x9f]")
 _ASCII = re.compile("[\x00-\x7f]")
 _HAS_CJK = re.compile(f"[{_CJK}]")
@@ -326,6 +328,15 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, token string")
 
 
+def _sided(df: DataFrame, rows: int) -> DataFrame:
+    """`df` as a side of a join: broadcast if it has few rows, else joined by a shuffle.
+
+    The engine's guess of a size counts neither what a function or an explode adds, nor what compression saves in a written table, so it
+    would broadcast tables of many times its limit.
+    """
+    return F.broadcast(df) if rows <= FEW else df.hint("merge")
+
+
 def _chinese_by_pairs(vocabulary: DataFrame, clean: DataFrame) -> DataFrame:
     """(token, original, chain, df, original_df, level) of runs that a chain makes of Chinese whose pairs of ideographs the clean runs have.
 
@@ -348,7 +359,7 @@ def _chinese_by_pairs(vocabulary: DataFrame, clean: DataFrame) -> DataFrame:
 
     known = clean.filter(F.col("token").rlike("[\\x{3400}-\\x{9FFF}]{2}")).select("token").mapInArrow(pairs_of, "pair string").distinct()
     runs = vocabulary.select("token", "df").mapInArrow(read, "token string, df bigint, original string, chain string, pairs array<string>")
-    met = runs.withColumn("total", F.size("pairs")).withColumn("pair", F.explode("pairs")).join(known, "pair").groupBy("token", "df", "original", "chain", "total").agg(F.count(F.lit(1)).alias("met"))
+    met = runs.withColumn("total", F.size("pairs")).withColumn("pair", F.explode("pairs")).join(known.hint("merge"), "pair").groupBy("token", "df", "original", "chain", "total").agg(F.count(F.lit(1)).alias("met"))
     least = F.when(F.col("token").rlike(f"[{_CJK}]"), 3).otherwise(F.least(F.lit(2), F.col("total")))
     best = met.filter((F.col("met") * 2 >= F.col("total")) & (F.col("met") >= least)).groupBy("token", "df").agg(F.max(F.struct((F.col("met") / F.col("total")).alias("share"), "met", "chain", "original")).alias("best"))
     return best.select("token", "best.original", "best.chain", "df", F.lit(None).cast("bigint").alias("original_df"), F.lit(2).alias("level"))
@@ -392,7 +403,7 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
     oddness = F.pandas_udf(lambda tokens: tokens.map(lambda t: min(oddity(t), 7)).astype("int32"), "int")
     # what was read wrongly again, in any order of encodings, is joined by what the last readings were given
     again = vocabulary.select("token", "df").mapInArrow(peel, "h bigint, token string, df bigint, rest string")
-    met = forms.join(vocabulary.withColumn("rest", F.lit("")).unionByName(again), "h").withColumn("odd", oddness("token")).withColumn("word_odd", F.floor(F.col("chain") / 2).cast("int") % 8)
+    met = forms.hint("merge").join(vocabulary.withColumn("rest", F.lit("")).unionByName(again), "h").withColumn("odd", oddness("token")).withColumn("word_odd", F.floor(F.col("chain") / 2).cast("int") % 8)
     never_meant = (F.col("chain") % 2 == 1) | (F.col("rest") != "")
     marked = F.substring("token", 1, 1).isin(*MARKS)
     has_lost = F.col("token").contains("\ufffd")
@@ -415,19 +426,21 @@ def garbled_vocabulary(pairs: DataFrame) -> DataFrame:
     # characters that were lost come back only if a single word fits what is left
     matched = best.join(originals, "word_h").select("token", F.when(F.col("clear"), F.col("original")).alias("original"), F.concat(F.element_at(names, F.floor(F.col("chain") / 16).cast("int")), "rest").alias("chain"), "df", "original_df", "level")
     matched = cut_lineage(matched)  # garbled tokens only, read several times below
+    n = matched.count()
     # a word may itself be a form of another: what was garbled twice gets the first original
     matched, weak = matched.filter("level > 0"), matched.filter("level = 0")
-    weak = weak.join(matched.filter("level = 2").select(F.col("token").alias("original")), "original", "left_anti").select(matched.columns)
+    weak = weak.join(_sided(matched.filter("level = 2").select(F.col("token").alias("original")), n), "original", "left_anti").select(matched.columns)
     for _ in range(2):
         step = matched.select(F.col("token").alias("original"), F.col("original").alias("first"), F.col("chain").alias("before"))
-        matched = matched.join(step, "original", "left").select(
+        matched = matched.join(_sided(step, n), "original", "left").select(
             "token", F.coalesce("first", "original").alias("original"), F.when(F.col("first").isNull(), F.col("chain")).otherwise(F.concat_ws(">", "before", "chain")).alias("chain"), "df", "original_df", "level"
         )
     # Chinese runs are whole sentences, which need not stand clean elsewhere
-    chinese = cut_lineage(_chinese_by_pairs(vocabulary, clean).join(matched, "token", "left_anti"))
-    weak = weak.join(chinese, "token", "left_anti")
+    chinese = cut_lineage(_chinese_by_pairs(vocabulary, clean).join(_sided(matched.select("token"), n), "token", "left_anti"))
+    n_chinese = chinese.count()
+    weak = weak.join(_sided(chinese.select("token"), n_chinese), "token", "left_anti")
     known_tokens = matched.select("token").unionByName(chinese.select("token"))
-    lost = vocabulary.filter(F.col("token").rlike("[\\x{FFFD}\\x80-\\x84\\x86-\\x9F]")).join(known_tokens, "token", "left_anti")
+    lost = vocabulary.filter(F.col("token").rlike("[\\x{FFFD}\\x80-\\x84\\x86-\\x9F]")).join(_sided(known_tokens, n + n_chinese), "token", "left_anti")
     none = F.lit(None)
     lost = lost.select("token", none.cast("string").alias("original"), none.cast("string").alias("chain"), "df", none.cast("bigint").alias("original_df"), F.lit(2).alias("level"))
     by = lambda df, name: df.withColumn("found_by", F.when(F.col("original").isNull(), "lost").otherwise(name))
@@ -448,12 +461,12 @@ def garbled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = F.substring("token", 1, 1).isin(EXPLAINED, BESIDE)
     pairs = found.filter(~judged)
     known = cut_lineage(garbled_vocabulary(pairs))
-    met = cut_lineage(pairs.join(known, "token").select("doc_id", "token", "original", "chain", "df", "level", "found_by"))
+    met = cut_lineage(pairs.join(_sided(known, known.count()), "token").select("doc_id", "token", "original", "chain", "df", "level", "found_by"))
     gives = F.pandas_udf(lambda o, t, cs: pd.Series([any(garble(a, c) == b for c in some) for a, b, some in zip(o, t, cs)], dtype=bool), "boolean")
 
     def told(by: DataFrame) -> DataFrame:
         seen = by.filter(F.col("original").isNotNull()).groupBy("doc_id").agg(F.collect_set("chain").alias("chains"))
-        shown = met.filter("level = 0").join(seen, "doc_id").filter(gives("original", "token", "chains")).drop("chains")
+        shown = met.filter("level = 0").join(seen.hint("merge"), "doc_id").filter(gives("original", "token", "chains")).drop("chains")
         # a garbled passage beside clean text shows a chain too: at least half of a token's documents must
         often = shown.groupBy("token", "original").agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("df")).filter("2 * n >= df").select("token", "original")
         return shown.join(often, ["token", "original"], "left_semi")

@@ -121,3 +121,20 @@ def test_one_garbled_passage_turns_no_word_of_clean_text(spark):
     got = {r["doc_id"]: r["restored"] for r in m.restore_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[40] == "I don’t know" and got[21] == "ça garçon" and got[42] == "I don’t know" and got[41] == "a été" and not set(got) & set(range(9))
     assert got.get(30, "don’t").startswith("don’t")
+
+
+def test_nothing_that_grows_is_broadcast(spark, docs, monkeypatch, tmp_path):
+    """Whatever the engine guesses, forms and pairs are joined by a shuffle, and so are finds unless their counted rows are few."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    written, cut = [], m.cut_lineage
+    monkeypatch.setattr(m, "cut_lineage", lambda df: written.append(df._jdf.queryExecution().sparkPlan().toString()) or cut(df))
+    monkeypatch.setattr(m, "FEW", -1)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+        got = {r["doc_id"] for r in m.garbled_tokens(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {*GARBLED, 203}
+    joins = [line for plan in written for line in plan.splitlines() if "Join" in line]
+    assert not [j for j in joins if "BroadcastHashJoin" in j and ("[h#" in j or "[pair#" in j or "[token#" in j)]
+    assert sum("SortMergeJoin [h#" in j for j in joins) == 1 and sum("SortMergeJoin [pair#" in j for j in joins) == 1
