@@ -63,6 +63,31 @@ def test_search_ties_and_limits(spark):
         search.vector_search(q, d, k=0)
 
 
+@pytest.mark.parametrize("least,options", [(-1.0, {"at_once": 5}), (0.05, {"few": 0, "held": 0}), (0.05, {"sampled": 0, "share": 2})])
+def test_nearest_is_the_ranking_of_all_pairs(spark, least, options):
+    """Every way: terms broadcast or not, with a sample, blocks read again, many batches; also with equal scores and weights below 0."""
+    rng = np.random.default_rng(1)
+    rows = lambda n, most: [(i, f"t{t}", float(rng.integers(-1, 4))) for i in range(n) for t in rng.choice(12, rng.integers(1, most), replace=False)]
+    q, d = vectors(spark, rows(6, 4), "qid"), vectors(spark, rows(60, 6) + [(100 + i, "t1", 1.0) for i in range(9)])
+    both = search.similarities(q, d).collect()
+    want = {}
+    for r in both:
+        if r["score"] >= least:
+            want.setdefault(r["qid"], []).append((-round(r["score"], 9), r["doc_id"]))
+    got = search.top_k(search.nearest(q, d, 4, least, **options), 4).collect()
+    assert {(r["qid"], r["rank"], r["doc_id"]) for r in got} == {(i, n, x[1]) for i, some in want.items() for n, x in enumerate(sorted(some)[:4], 1)}
+    if "sampled" not in options:
+        assert {(r["qid"], r["doc_id"]) for r in search.nearest(q, d, None, least, **options).collect()} == {(i, x[1]) for i, some in want.items() for x in some}
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
+    """A search of 40 queries in 500 documents that all share a term gives the ranking 4 rows of each query and task at most."""
+    q, d = vectors(spark, [(i, "a", 1.0) for i in range(40)], "qid"), vectors(spark, [(i, "a", 1.0) for i in range(500)])
+    near = search.nearest(q, d, 4, 0.05)
+    assert near.count() <= 40 * 4 * near.rdd.getNumPartitions() and near.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert [r["doc_id"] for r in search.vector_search(q, d, 4).filter("qid = 7").orderBy("rank").collect()] == [0, 1, 2, 3]
+
+
 def test_memory_search(spark):
     meta = spark.createDataFrame([(1, 1, "2026-01-31"), (2, 1, "2025-11-02"), (3, 2, None)], "chunk_id bigint, page_no int, d string").withColumn("created_at", F.to_timestamp("d")).drop("d")
     hits = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5), (1, 3, 0.9)], "qid bigint, doc_id bigint, score double")
